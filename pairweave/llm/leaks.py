@@ -1,2 +1,192 @@
-QUERIES = {}
-ORACLE = {}
+"""Evaluation texts leaking into training text: template windows, hash join, slot check."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pairweave.llm.text import TAG_SQL, WORD, without_markup, words
+from pairweave.runtime import cut
+from pairweave.sources.tables import table
+
+#: Evaluation items are searched for in blocks of so many, which bounds what a task holds of them.
+BLOCK_ITEMS = 20_000
+#: Windows of a block are broadcast for the join up to so many; beyond, both sides are shuffled.
+BROADCAST_WINDOWS = 200_000
+#: Placeholders can't be words, since words hold letters and digits only.
+NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
+
+_CASED = re.compile(r"[^\W_]+|[.?!:)]")
+
+
+def _lexicon_votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per word of the items: how often it occurs, begins with a capital inside a sentence, is all lower case, or
+    follows a number within a sentence."""
+    for batch in batches:
+        rows = []
+        for text in batch["text"].dropna():
+            before, number = ".", False
+            for token in _CASED.findall(without_markup(text)):
+                if token in ".?!:)":
+                    before, number = token, False
+                    continue
+                rows.append((token.lower(), 1, int(token[0].isupper() and len(token) > 2 and before == ""), int(token.islower()), int(number and not token.isdigit())))
+                before, number = "", token.isdigit()
+        yield pd.DataFrame(rows, columns=["word", "n", "capital", "lower", "after_number"])
+
+
+def slot_lexicon(items: DataFrame) -> DataFrame:
+    """``(word, slot)``: the names and units among the words of ``items(text)``.
+
+    A name occurs with a capital inside a sentence and never in lower case; a unit follows a number in at least two
+    places and in at least half of all its places.
+    """
+    votes = items.select("text").mapInPandas(_lexicon_votes, "word string, n long, capital long, lower long, after_number long")
+    votes = votes.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "capital", "lower", "after_number")])
+    name = (F.col("capital") > 0) & (F.col("lower") == 0)
+    unit = (F.col("after_number") >= 2) & (2 * F.col("after_number") >= F.col("n"))
+    return votes.select("word", F.when(name, F.lit(NAME)).when(unit, F.lit(UNIT)).alias("slot")).filter("slot is not null")
+
+
+class Windows:
+    """All windows of ``width`` words of a batch of texts, with the hash of each window's template."""
+
+    def __init__(self, texts: pd.Series, width: int, slots: dict[str, str]):
+        per = [words(t) if isinstance(t, str) else [] for t in texts]
+        lengths = np.array([len(w) for w in per], np.int64)
+        self.flat = [x for w in per for x in w]
+        owner = np.repeat(np.arange(len(per)), lengths)
+        begin = np.cumsum(lengths) - lengths
+        codes, unique = pd.factorize(np.array(self.flat, dtype=object)) if self.flat else (np.zeros(0, np.int64), [])
+        template = np.array([xxhash.xxh64_intdigest((NUMBER if w.isdigit() else slots.get(w, w)).encode()) for w in unique], np.uint64)
+        self.slotted = np.array([w.isdigit() or w in slots for w in unique], bool)[codes] if len(unique) else np.zeros(0, bool)
+        n = max(0, len(self.flat) - width + 1)
+        hashed = template[codes] if len(unique) else np.zeros(0, np.uint64)
+        rolling = np.zeros(n, np.uint64)
+        for k in range(width):
+            rolling = rolling * np.uint64(0x9E3779B97F4A7C15) + hashed[k : k + n]
+        whole = owner[:n] == owner[width - 1 : width - 1 + n]
+        self.start = np.nonzero(whole)[0]
+        self.hash = rolling[self.start].view(np.int64)
+        self.owner = owner[self.start] if n else np.zeros(0, np.int64)
+        self.position = self.start - begin[self.owner] if n else np.zeros(0, np.int64)
+        self.width = width
+
+    def table(self, keep: np.ndarray, ids: pd.Series) -> pd.DataFrame:
+        """Rows ``(id, position, template, words, slots)`` of the windows marked by ``keep``."""
+        at = np.nonzero(keep)[0]
+        text, slots = [], []
+        for s in self.start[at].tolist():
+            text.append(" ".join(self.flat[s : s + self.width]))
+            slots.append([self.flat[j] for j in range(s, s + self.width) if self.slotted[j]])
+        return pd.DataFrame({"id": ids.to_numpy()[self.owner[at]], "position": self.position[at], "template": self.hash[at], "words": text, "slots": slots})
+
+
+_WINDOW = "id long, position long, template long, words string, slots array<string>"
+
+
+def _windows(texts: DataFrame, width: int, slots: dict[str, str], wanted: np.ndarray | None) -> DataFrame:
+    """Windows of ``texts(id, text)``, only those whose template is in the sorted array ``wanted`` if one is given."""
+    spark = texts.sparkSession
+    known, targets = spark.sparkContext.broadcast(slots), spark.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = Windows(batch["text"], width, known.value)
+            keep = np.ones(len(found.hash), bool)
+            if targets.value is not None:
+                at = np.minimum(np.searchsorted(targets.value, found.hash), len(targets.value) - 1)
+                keep = targets.value[at] == found.hash if len(targets.value) else np.zeros(len(found.hash), bool)
+            if keep.any():
+                yield found.table(keep, batch["id"])
+
+    return texts.select("id", "text").mapInPandas(run, _WINDOW)
+
+
+def _blocks(items: DataFrame, size: int) -> list[DataFrame]:
+    """Items in blocks of at most ``size``; the number of blocks is all that the driver learns."""
+    n = items.count()
+    if n <= size:
+        return [items] if n else []
+    from pairweave.operators.assign import with_position
+
+    placed = cut(with_position(items, [F.asc("id")], "_k"))
+    return [placed.filter(F.col("_k").between(b, b + size - 1)).drop("_k") for b in range(0, n, size)]
+
+
+def shared_windows(documents: DataFrame, items: DataFrame, width: int, *, exact: bool, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """Pairs of windows of ``width`` words with equal templates whose slots are consistent.
+
+    ``documents(id, text)`` and ``items(id, text)`` have unique ids. Numbers, names and units of the words become
+    typed placeholders; windows of both sides meet on the hash of their template. With ``exact`` the slots must hold
+    the same words (so must all other words, which also rules out hash collisions). Otherwise slots are consistent
+    if equal words on one side are equal words on the other, so an item told again with other numbers and names is
+    found as well.
+
+    Result: ``(doc_id, item_id, doc_position, item_position, same)``. Null, empty and short texts have no window.
+    """
+    out = None
+    for block in _blocks(items, block_items):
+        block = cut(block)
+        slots = {r["word"]: r["slot"] for r in slot_lexicon(block).collect()}  # bounded by the block
+        there = cut(_windows(block, width, slots, None))
+        wanted = np.array(sorted(r["template"] for r in there.select("template").distinct().collect()), np.int64)  # bounded by the block
+        here = _windows(documents, width, slots, wanted)
+        here = here.select(F.col("id").alias("doc_id"), F.col("position").alias("doc_position"), "template", "words", F.col("slots").alias("doc_slots"))
+        there = there.select(F.col("id").alias("item_id"), F.col("position").alias("item_position"), "template", F.col("words").alias("item_words"), F.col("slots").alias("item_slots"))
+        if there.count() <= BROADCAST_WINDOWS:
+            there = F.broadcast(there)
+        same = F.col("words") == F.col("item_words")
+        if exact:
+            met = here.join(there, (here["template"] == there["template"]) & same)
+        else:
+            d, i = F.col("doc_slots"), F.col("item_slots")
+            kinds = F.size(F.array_distinct(F.arrays_zip(d, i)))
+            consistent = (F.size(F.array_distinct(d)) == kinds) & (F.size(F.array_distinct(i)) == kinds)
+            met = here.join(there, here["template"] == there["template"]).filter(consistent)
+        met = met.select("doc_id", "item_id", "doc_position", "item_position", same.alias("same"))
+        out = met if out is None else out.unionByName(met)
+    if out is None:
+        return documents.sparkSession.createDataFrame([], "doc_id long, item_id long, doc_position long, item_position long, same boolean")
+    return out
+
+
+def _texts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    documents = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
+    return documents, table(spark, folder, "eval_items").select(F.col("item_id").alias("id"), "text")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with at least 13 successive words of an evaluation item."""
+    return shared_windows(*_texts(spark, folder), 13, exact=True).select("doc_id", "item_id").distinct()
+
+
+def p8_retold(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with at least 24 successive words of an item told with other numbers, names or units.
+
+    Counted are positions of the document where the template agrees and the slots are consistent; ``n_same`` of them
+    repeat the item's very words.
+    """
+    met = shared_windows(*_texts(spark, folder), 24, exact=False)
+    per = met.groupBy("doc_id", "item_id", "doc_position").agg(F.max("same").alias("same"))
+    return per.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_windows"), F.count_if("same").alias("n_same"))
+
+
+QUERIES = {"p8_found": p8_found, "p8_retold": p8_retold}
+
+_TOKENS = f"regexp_extract_all(lower(replace(replace(replace(replace(regexp_replace(text, '{TAG_SQL}', ' ', 'g'), '&#39;', ''''), '&amp;', '&'), '&nbsp;', ' '), '&quot;', '\"')), '[\\p{{L}}\\p{{N}}]+')"
+ORACLE = {
+    "p8_found": f"""
+with d as (select doc_id, {_TOKENS} as w from documents where text is not null),
+     i as (select item_id, {_TOKENS} as w from eval_items where text is not null),
+     dw as (select distinct doc_id, list_aggregate(w[k : k + 12], 'string_agg', ' ') as win from d, unnest(range(1, greatest(len(w) - 11, 1))) as t(k) where len(w) >= 13),
+     iw as (select distinct item_id, list_aggregate(w[k : k + 12], 'string_agg', ' ') as win from i, unnest(range(1, greatest(len(w) - 11, 1))) as t(k) where len(w) >= 13)
+select distinct doc_id, item_id from dw join iw using (win)""",
+}
