@@ -1,2 +1,231 @@
-QUERIES = {}
-ORACLE = {}
+"""Grouping records into similarity clusters: sparse k-means over hashed neighbourhoods, then an exact check."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from pairweave.operators.edges import symmetrize
+from pairweave.operators.greedy import first_independent_set
+from pairweave.operators.rounds import is_empty
+from pairweave.runtime import cut
+from pairweave.sources.tables import table
+
+#: Buckets that features are hashed to. Vectors are sparse, so their number costs nothing.
+DIMENSIONS = 1 << 40
+
+
+def neighbourhood_vectors(edges: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
+    """``(id, f, x)``: each record's similar records, and itself, as hashed features weighing their similarity.
+
+    ``edges(src, dst, s)`` holds every pair once. Vectors have length one.
+    """
+    arcs = symmetrize(edges).select(F.col("src").alias("id"), F.col("dst").alias("of"), "s")
+    own = arcs.select("id").distinct().select("id", F.col("id").alias("of"), F.lit(1.0).alias("s"))
+    rows = arcs.unionByName(own).groupBy("id", F.pmod(F.xxhash64("of"), F.lit(dimensions)).alias("f")).agg(F.sum("s").alias("x"))
+    norm = rows.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    return rows.join(norm, "id").select("id", "f", (F.col("x") / F.col("norm")).alias("x"))
+
+
+def nearest(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
+    """``(id, c, cos)``: the nearest of ``centroids(c, f, y)`` that shares a feature; ties go to the smaller c.
+
+    Only centroids with a feature in common are ever compared; all others have a cosine of zero.
+    """
+    met = vectors.join(centroids, "f").groupBy("id", "c").agg(F.sum(F.col("x") * F.col("y")).alias("cos"))
+    best = F.min(F.struct((-F.round("cos", 12)).alias("neg"), F.col("c").alias("c")))
+    return met.groupBy("id").agg(best.alias("b")).select("id", F.col("b.c").alias("c"), (-F.col("b.neg")).alias("cos"))
+
+
+def centroids_of(vectors: DataFrame, assigned: DataFrame) -> DataFrame:
+    """``(c, f, y)``: mean directions, of length one, of the records assigned to each ``c``."""
+    sums = vectors.join(assigned.select("id", "c"), "id").groupBy("c", "f").agg(F.sum("x").alias("y"))
+    norm = sums.groupBy("c").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("norm"))
+    return sums.join(norm, "c").select("c", "f", (F.col("y") / F.col("norm")).alias("y"))
+
+
+def _chance(ident: str, *salt: int) -> Column:
+    """A number from 0 to 1 that depends on the record and the salt alone."""
+    return F.pmod(F.xxhash64(F.col(ident), *[F.lit(s) for s in salt]), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+
+def seed_centroids(vectors: DataFrame, *, rounds: int = 4, oversampling: float = 0.3, close: float = 0.5, seed: int = 1) -> DataFrame:
+    """``(c, f, y)``: seeds by parallel oversampling (k-means||).
+
+    In each round every record becomes a seed with a chance in proportion to its distance from the seeds so far, all
+    at once; the last round takes every record that still has no seed at a cosine of ``close``. So groups needn't be
+    counted first, and none is missed. The seeds are then clustered themselves: weighted by the records nearest to
+    them, a seed stays if no heavier one that stays is at a cosine of ``close`` or more.
+    """
+    ids = vectors.select("id").distinct()
+    chosen = cut(ids.filter(_chance("id", seed, 0) < oversampling / 2))
+    for r in range(1, rounds + 1):
+        points = vectors.join(chosen, "id").select(F.col("id").alias("c"), "f", F.col("x").alias("y"))
+        far = ids.join(nearest(vectors, points), "id", "left").select("id", (1 - F.coalesce("cos", F.lit(0.0))).alias("d"))
+        pick = (F.col("d") > 1 - close) if r == rounds else (_chance("id", seed, r) < oversampling * F.col("d"))
+        fresh = far.join(chosen, "id", "left_anti").filter(pick).select("id")
+        chosen = cut(chosen.unionByName(fresh))
+    points = cut(vectors.join(chosen, "id").select(F.col("id").alias("c"), "f", F.col("x").alias("y")))
+    weights = cut(nearest(vectors, points).groupBy("c").agg(F.count(F.lit(1)).alias("n")))
+    weights = chosen.withColumnRenamed("id", "c").join(weights, "c", "left").select("c", F.struct((-F.coalesce("n", F.lit(0))).alias("n"), F.col("c").alias("id")).alias("key"))
+    a, b = points.select(F.col("c").alias("src"), "f", F.col("y").alias("p")), points.select(F.col("c").alias("dst"), "f", F.col("y").alias("q"))
+    alike = a.join(b, "f").filter("src <> dst").groupBy("src", "dst").agg(F.sum(F.col("p") * F.col("q")).alias("cos")).filter(F.col("cos") >= close)
+    arcs = alike.join(weights.select(F.col("c").alias("src"), F.col("key").alias("ks")), "src").join(weights.select(F.col("c").alias("dst"), F.col("key").alias("kd")), "dst")
+    arcs = cut(arcs.select("src", "dst", "ks", "kd"))
+    alone = chosen.join(arcs.select(F.col("src").alias("id")).distinct(), "id", "left_anti")
+    kept = first_independent_set(arcs).unionByName(alone)
+    return points.join(kept.withColumnRenamed("id", "c"), "c")
+
+
+def k_means(vectors: DataFrame, *, iterations: int = 4, seed: int = 1) -> DataFrame:
+    """``(id, c, cos)`` by spherical k-means from oversampled seeds, until assignments stay or iterations end."""
+    assigned = cut(nearest(vectors, seed_centroids(vectors, seed=seed)))
+    for _ in range(iterations):
+        moved = cut(nearest(vectors, centroids_of(vectors, assigned)))
+        was = assigned.select("id", F.col("c").alias("old"))
+        changed = not is_empty(moved.join(was, "id").filter("c <> old"))
+        assigned = moved
+        if not changed:
+            break
+    return assigned
+
+
+def _merge(arcs: DataFrame, state: DataFrame) -> DataFrame | None:
+    """Join clusters that are each other's best partner, where more than half of all pairs between them are similar;
+    None if there are none."""
+    sizes = state.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    left, right = state.select(F.col("id").alias("src"), F.col("c").alias("a")), state.select(F.col("id").alias("dst"), F.col("c").alias("b"))
+    between = arcs.join(left, "src").join(right, "dst").filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("e"))
+    rated = between.join(sizes.withColumnRenamed("c", "a").withColumnRenamed("n", "na"), "a").join(sizes.withColumnRenamed("c", "b").withColumnRenamed("n", "nb"), "b")
+    gain = F.col("e") - F.lit(0.5) * F.col("na") * F.col("nb")
+    order = F.struct((-gain).alias("gain"), F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+    best = rated.filter(gain > 0).groupBy("a").agg(F.min(order).alias("o"))
+    pairs = best.groupBy(F.col("o.x").alias("x"), F.col("o.y").alias("y")).agg(F.count(F.lit(1)).alias("n")).filter("n = 2")
+    pairs = cut(pairs.select("x", "y"))
+    if is_empty(pairs):
+        return None
+    return cut(state.join(pairs.select(F.col("y").alias("c"), "x"), "c", "left").select("id", F.coalesce("x", "c").alias("c")))
+
+
+def _move(arcs: DataFrame, state: DataFrame, turn: int, seed: int) -> DataFrame:
+    """Let about half of the records move to the cluster most of which they are similar to, or out of all: ``(id, c,
+    wanted)``. What a record gains is the similar members less half of the other members, and must be positive."""
+    sizes = state.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    near = arcs.join(state.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id"), "c").agg(F.count(F.lit(1)).alias("s"))
+    own = state.select("id", F.col("c").alias("own"))
+    rated = near.join(sizes, "c").join(own, "id").select("id", "own", "c", (F.col("s") - 0.5 * (F.col("n") - (F.col("own") == F.col("c")).cast("int"))).alias("gain"))
+    best = rated.groupBy("id").agg(F.min(F.struct((-F.col("gain")).alias("neg"), (F.col("own") != F.col("c")).alias("away"), F.col("c").alias("c"))).alias("b"))
+    size = own.join(sizes.withColumnRenamed("c", "own"), "own").join(best, "id", "left")
+    out = F.concat(F.col("id"), F.lit(f"#{turn}"))
+    goal = F.when(F.col("b.neg") < 0, F.col("b.c")).when(F.col("n") > 1, out).otherwise(F.col("own"))
+    wants = size.select("id", "own", goal.alias("goal"))
+    may = _chance("id", seed, 1_000 + turn) < 0.5
+    wanted = F.col("goal") != F.col("own")
+    return wants.select("id", F.when(may & wanted, F.col("goal")).otherwise(F.col("own")).alias("c"), wanted.alias("wanted"))
+
+
+def majority_groups(edges: DataFrame, start: DataFrame, *, turns: int = 60, seed: int = 1) -> DataFrame:
+    """``(id, c)``: clusters in which every member is similar to more than half of the others.
+
+    From the clusters ``start(id, c)``, records move (see :func:`_move`) until none wants to, then clusters that
+    belong together merge, and so on. Records similar to at most half of every cluster end up alone and are left out.
+    """
+    arcs = cut(symmetrize(edges).select("src", "dst"))
+    state = cut(start.select("id", "c"))
+    turn = 0
+    while turn < turns:
+        merged = _merge(arcs, state)
+        while merged is not None:
+            state = merged
+            merged = _merge(arcs, state)
+        settled = True
+        while turn < turns:
+            turn += 1
+            stepped = cut(_move(arcs, state, turn, seed))
+            waiting = not is_empty(stepped.filter("wanted"))
+            state = stepped.select("id", "c")
+            if not waiting:
+                break
+            settled = False
+        if settled:
+            break
+    # whatever the turns have left undone is undone by dropping members until the rule holds
+    while True:
+        sizes = state.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+        inside = arcs.join(state.select(F.col("id").alias("src"), F.col("c").alias("a")), "src").join(state.select(F.col("id").alias("dst"), F.col("c").alias("b")), "dst").filter("a = b")
+        degree = inside.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("s"))
+        checked = cut(state.join(sizes, "c").join(degree, "id", "left").select("id", "c", (2 * F.coalesce("s", F.lit(0)) > F.col("n") - 1).alias("fits")))
+        state = checked.filter("fits").select("id", "c")
+        if is_empty(checked.filter("not fits")):
+            return state
+
+
+def similar_groups(pairs: DataFrame, *, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Groups of at least two mutually similar records, and each group's description.
+
+    ``pairs(a, b, s)`` holds pairs of similar records. Either order and repeats count once, with the highest
+    similarity; pairs of a record with itself and pairs with nulls don't count. Records become sparse vectors
+    (:func:`neighbourhood_vectors`), k-means from oversampled seeds clusters them (:func:`k_means`), and an exact
+    check moves, merges and drops until every member of a group is similar to more than half of the others
+    (:func:`majority_groups`).
+
+    Result: ``(group_id, id)`` with the smallest member as group_id, and ``(group_id, size, typical)`` with up to
+    three members nearest to the group's centroid. Empty tables give empty results.
+    """
+    a, b = F.col("a"), F.col("b")
+    known = pairs.filter(a.isNotNull() & b.isNotNull() & (a != b) & F.col("s").isNotNull())
+    edges = cut(known.select(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"), "s").groupBy("src", "dst").agg(F.max("s").alias("s")))
+    vectors = cut(neighbourhood_vectors(edges))
+    members = majority_groups(edges, k_means(vectors, seed=seed), seed=seed)
+    names = members.groupBy("c").agg(F.min("id").alias("group_id"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    groups = cut(members.join(names, "c").select("group_id", "size", "id"))
+    return groups.select("group_id", "id"), _described(vectors, groups)
+
+
+def _described(vectors: DataFrame, groups: DataFrame, typical: int = 3) -> DataFrame:
+    assigned = groups.select("id", F.col("group_id").alias("c"))
+    rows = vectors.join(assigned, "id").join(centroids_of(vectors, assigned), ["c", "f"])
+    cos = rows.groupBy("c", "id").agg(F.round(F.sum(F.col("x") * F.col("y")), 9).alias("cos"))
+    place = F.row_number().over(Window.partitionBy("c").orderBy(F.desc("cos"), "id"))
+    near = cos.withColumn("place", place).filter(F.col("place") <= typical)
+    lists = near.groupBy("c").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("typical"))
+    sizes = groups.select("group_id", "size").distinct()
+    return sizes.join(lists.withColumnRenamed("c", "group_id"), "group_id")
+
+
+def member_pairs(groups: DataFrame, *, block: int = 1_000) -> DataFrame:
+    """``(id1, id2)``, id1 < id2: all pairs of members of ``groups(group_id, id)``.
+
+    The rows asked for are the square of a group's size, so a large group is cut into blocks of members, each of which
+    meets the whole group in a task of its own.
+    """
+    sizes = groups.groupBy("group_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
+    sized = groups.join(sizes, "group_id")
+    left = sized.select("group_id", F.col("id").alias("id1"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("part"))
+    right = sized.select("group_id", F.col("id").alias("id2"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
+    return left.join(right, ["group_id", "part"]).filter("id1 < id2").select("id1", "id2")
+
+
+def _similar(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "vir61_ani", "id1", "id2", "ani")
+    share = F.when(F.col("ani") > 1, F.col("ani") / 100).otherwise(F.col("ani"))
+    return rows.filter(~F.isnan("ani") & (share >= 0.95)).select(F.col("id1").alias("a"), F.col("id2").alias("b"), share.alias("s"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair of genomes of the same group."""
+    return member_pairs(similar_groups(_similar(spark, folder))[0])
+
+
+def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Size, most typical members and most frequent labels of every group."""
+    groups, described = similar_groups(_similar(spark, folder))
+    labels = table(spark, folder, "vir61_species", "genome", "species_cluster").filter("genome is not null and species_cluster is not null").distinct()
+    per = groups.join(labels, groups["id"] == labels["genome"]).groupBy("group_id", "species_cluster").agg(F.count(F.lit(1)).alias("n"))
+    top = per.groupBy("group_id").agg(F.min(F.struct((-F.col("n")).alias("neg"), "species_cluster")).alias("t"), F.sum("n").alias("n_labelled"))
+    out = described.join(top.select("group_id", F.col("t.species_cluster").alias("species_cluster"), "n_labelled"), "group_id", "left")
+    return out.select("group_id", "size", F.concat_ws(" ", "typical").alias("typical"), "species_cluster", F.coalesce("n_labelled", F.lit(0)).alias("n_labelled"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups}
+ORACLE: dict[str, str] = {}
