@@ -5,4 +5,11 @@ assignment table), the building blocks in :mod:`pairweave.operators` and the rea
 :mod:`pairweave.sources`.
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# executors needn't have the package installed: functions travel with their code
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
