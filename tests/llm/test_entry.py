@@ -1,0 +1,11 @@
+import re
+
+import __spark_entry__
+
+
+def test_every_problem_has_its_query():
+    names = set(__spark_entry__.queries())
+    for n in (1, 2, 3, 4, 6, 8, 10):
+        assert f"p{n}_found" in names
+    assert any(re.match("p9_", x) for x in names)
+    assert set(__spark_entry__.oracle_sql()) <= names
