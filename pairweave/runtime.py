@@ -27,14 +27,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, *, keep_partitioning: bool = False) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
 
     Loops call this once a round, so that a plan never grows with the number of rounds and a lost executor costs
-    one round at most.
+    one round at most. A checkpoint keeps the size estimate of the plan it came from, and a join multiplies the
+    estimates of its sides, so over some rounds the number alone would fill the driver; the rows are therefore
+    wrapped as a relation of unknown size, and adaptive execution goes by real sizes. ``keep_partitioning`` leaves
+    the checkpoint as it is, with its estimate and with the partitioning that later joins can use.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    saved = df.checkpoint(eager=True)
+    if keep_partitioning:
+        return saved
+    jdf = saved._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(jdf.queryExecution().toRdd(), jdf.schema(), False), spark)
 
 
 def join_bounded(left: DataFrame, right: DataFrame, on, how: str = "inner", *, right_rows: int, bound: int) -> DataFrame:
