@@ -5,12 +5,10 @@ from pyspark.sql import functions as F
 
 from pairweave.llm.ledger import Ledger, collapse, unordered_key
 
-KEY = unordered_key([F.col("id1"), F.col("id2")], [F.col("ani"), F.col("cov")])
-
 
 def keys(spark, rows):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, id1 string, id2 string, ani double, cov double")
-    return df.withColumn("key", KEY).select("id", "key")
+    return df.withColumn("key", unordered_key([F.col("id1"), F.col("id2")], [F.col("ani"), F.col("cov")])).select("id", "key")
 
 
 def test_forms_of_a_record(spark):
