@@ -87,8 +87,9 @@ def write_single_file(assigned: DataFrame, path: str, *, csv: bool = False) -> N
 
 
 def dump_edges(edges: DataFrame, path: str) -> None:
-    """``name,name,distance`` per directed entry, sorted by both names."""
+    """``name,name,distance`` per directed entry, sorted by both names; ten significant digits, no padding."""
     from pairweave.operators.edges import symmetrize
 
     both = symmetrize(edges).orderBy("src", "dst")
-    both.select(F.concat_ws(",", F.col("src").cast("string"), F.col("dst").cast("string"), F.format_string("%.10g", F.col("d"))).alias("value")).write.mode("overwrite").text(path)
+    digits = F.regexp_replace(F.regexp_replace(F.format_string("%.10g", F.col("d")), "(\\.[0-9]*?)0+$", "$1"), "\\.$", "")
+    both.select(F.concat_ws(",", F.col("src").cast("string"), F.col("dst").cast("string"), digits).alias("value")).write.mode("overwrite").text(path)
