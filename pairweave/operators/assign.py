@@ -5,29 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairweave.runtime import cut
+from pairweave.runtime import cut, materialised
+
+#: Up to so many counted rows, one task numbers a table.
+SMALL_TABLE = 200_000
 
 
 def numbered_clusters(keyed: DataFrame) -> DataFrame:
     """``(cluster_key, n, cluster)``: 0-based numbers by size, largest first, ties by key.
 
-    Clusters are numbered without a window over all of them: the table is range-partitioned by its order, and each
-    partition adds the number of clusters before it. Only one count per partition reaches the driver.
+    See :func:`with_position` for how a large number of clusters is numbered without a window over all of them.
     """
     sizes = keyed.groupBy("cluster_key").agg(F.count(F.lit(1)).alias("n"))
     return with_position(sizes, [F.desc("n"), F.asc("cluster_key")], "cluster")
 
 
-def with_position(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """Append the 0-based position of each row in ``order``, which must be total."""
+def with_position(df: DataFrame, order: list[Column], name: str, small_table: int = SMALL_TABLE) -> DataFrame:
+    """Append the 0-based position of each row in ``order``, which must be total.
+
+    Up to :data:`SMALL_TABLE` counted rows are numbered by one task. Beyond, rows are range-partitioned by the order,
+    and each partition adds what comes before it.
+    """
+    df = materialised(df)
+    if df.count() <= small_table:
+        return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
     ranged = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     counts = sorted((r["_part"], r["count"]) for r in ranged.groupBy("_part").count().collect())  # one row a partition
     offsets, total = [], 0
     for part, count in counts:
         offsets.append((part, total))
         total += count
-    if not offsets:
-        return ranged.drop("_part").withColumn(name, F.lit(None).cast("long"))
     before = df.sparkSession.createDataFrame(offsets, "_part int, _before long")
     place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
     return ranged.withColumn("_place", place).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")
@@ -35,7 +42,7 @@ def with_position(df: DataFrame, order: list[Column], name: str) -> DataFrame:
 
 def number_assignments(keyed: DataFrame) -> DataFrame:
     """``(id, cluster)`` from ``(id, cluster_key)``."""
-    keyed = cut(keyed)
+    keyed = materialised(keyed)
     numbers = numbered_clusters(keyed).select("cluster_key", "cluster")
     return keyed.join(numbers, "cluster_key").select("id", "cluster")
 
@@ -48,7 +55,7 @@ def add_listed_objects(assigned: DataFrame, objects: DataFrame, *, missing: str
     """
     if missing not in ("raise", "drop"):
         raise ValueError("missing must be 'raise' or 'drop'")
-    assigned, objects = cut(assigned), cut(objects.select("object", "gi"))
+    assigned, objects = materialised(assigned), materialised(objects, "object", "gi")
     repeated = objects.groupBy("object").count().filter("count > 1").take(1)
     if repeated:
         raise ValueError(f"object {repeated[0]['object']!r} is listed more than once")

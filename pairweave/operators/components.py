@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pairweave.operators.edges import symmetrize
 from pairweave.operators.rounds import SMALL_GRAPH, follow_to_roots, is_empty
-from pairweave.runtime import cut
+from pairweave.runtime import cut, materialised
 
 
 def _union_find(edges: pd.DataFrame) -> pd.DataFrame:
@@ -37,14 +37,15 @@ def connected_components(edges: DataFrame, small_graph: int = SMALL_GRAPH) -> Da
     ``small_graph`` edges are left, one task finishes them; 0 switches that off. An empty edge table gives an empty
     result.
     """
-    edges = cut(edges.select("src", "dst"))
+    edges = materialised(edges, "src", "dst")
     forest: DataFrame | None = None
     id_type = edges.schema["src"].dataType.simpleString()
     while True:
         if edges.count() <= small_graph:
             last = edges.groupBy(F.lit(0).alias("_all")).applyInPandas(lambda pdf: _union_find(pdf), f"id {id_type}, root {id_type}")
-            last = last.select("id", F.col("root").alias("parent"))
-            forest = last if forest is None else forest.unionByName(last)
+            if forest is None:
+                return last
+            forest = forest.unionByName(last.select("id", F.col("root").alias("parent")))
             break
         if is_empty(edges):
             break

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pairweave.operators.edges import degrees
 from pairweave.operators.rounds import SMALL_GRAPH
-from pairweave.runtime import cut
+from pairweave.runtime import cut, materialised
 
 
 def keyed_arcs(edges: DataFrame, vertices: DataFrame, key: str) -> DataFrame:
@@ -48,7 +48,7 @@ def first_independent_set(arcs: DataFrame, small_graph: int = SMALL_GRAPH) -> Da
     neighbours are ruled out. Rounds end when no live entry is left, or when at most ``small_graph`` are, which one
     task then scans in order. Keys must be unique and sortable.
     """
-    arcs = cut(arcs.select("src", "dst", "ks", "kd"))
+    arcs = materialised(arcs, "src", "dst", "ks", "kd")
     found: list[DataFrame] = []
     while True:
         n = arcs.count()

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from pairweave.operators.components import connected_components
 from pairweave.operators.edges import symmetrize
-from pairweave.operators.rounds import SMALL_GRAPH, is_empty
-from pairweave.runtime import cut
+from pairweave.operators.rounds import SMALL_GRAPH, is_empty, per_component
+from pairweave.runtime import cut, materialised
 
 #: Components of more edges than this are moved in distributed rounds instead of one task.
 COMPONENT_EDGES = 2_000_000
@@ -135,16 +135,16 @@ def leiden_partition(n: int, edges: list[tuple[int, int, float]], gamma: float,
     return member
 
 
-def _communities(pdf: pd.DataFrame, gamma: float, beta: float, iterations: int, seed: int) -> pd.DataFrame:
-    pdf = pdf.sort_values(["src", "dst"], kind="stable")
-    codes, names = pd.factorize(pd.concat([pdf["src"], pdf["dst"]], ignore_index=True), sort=True)
-    half = len(pdf)
-    edges = list(zip(codes[:half].tolist(), codes[half:].tolist(), (1.0 - pdf["d"]).tolist()))
+def _communities(pdf: pd.DataFrame, gamma: float, beta: float, iterations: int, seed: int) -> list[tuple]:
+    rows = sorted(zip(pdf["src"].tolist(), pdf["dst"].tolist(), pdf["d"].tolist()))
+    names = sorted({x for a, b, _ in rows for x in (a, b)})
+    code = {x: i for i, x in enumerate(names)}
+    edges = [(code[a], code[b], 1.0 - d) for a, b, d in rows]
     member = leiden_partition(len(names), edges, gamma, beta, iterations, seed)
     first: dict[int, object] = {}
     for name, c in zip(names, member):
         first.setdefault(c, name)
-    return pd.DataFrame({"id": names, "community": [first[c] for c in member]})
+    return [(name, first[c]) for name, c in zip(names, member)]
 
 
 def leiden_rounds(edges: DataFrame, gamma: float, rounds: int = 20, seed: int = 1) -> DataFrame:
@@ -179,13 +179,14 @@ def leiden(edges: DataFrame, vertices: DataFrame, *, resolution: float = 0.7, be
     Each connected component is one grouped task; components of more than ``component_edges`` edges go through
     :func:`leiden_rounds`. Vertices without an edge stand alone. An empty graph gives an empty result.
     """
+    edges = materialised(edges)
     roots = cut(connected_components(edges, small_graph))
     placed = cut(edges.join(roots.select(F.col("id").alias("src"), F.col("root").alias("comp")), "src").select("comp", "src", "dst", "d"))
     id_type = edges.schema["src"].dataType.simpleString()
     large = cut(placed.groupBy("comp").count().filter(F.col("count") > component_edges).select("comp"))
     giant = not is_empty(large)
     within = placed.join(large, "comp", "left_anti") if giant else placed
-    found = within.groupBy("comp").applyInPandas(lambda pdf: _communities(pdf, resolution, beta, iterations, seed), f"id {id_type}, community {id_type}")
+    found = per_component(within, lambda pdf: _communities(pdf, resolution, beta, iterations, seed), f"id {id_type}, community {id_type}")
     if giant:
         found = found.unionByName(leiden_rounds(placed.join(large, "comp", "left_semi").select("src", "dst", "d"), resolution, seed=seed))
     labelled = cut(vertices.join(found, "id", "left").withColumn("community", F.coalesce("community", "id")))

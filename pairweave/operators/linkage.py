@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from pairweave.operators.components import connected_components
 from pairweave.operators.edges import symmetrize
-from pairweave.operators.rounds import SMALL_GRAPH, is_empty
-from pairweave.runtime import cut
+from pairweave.operators.rounds import SMALL_GRAPH, is_empty, per_component
+from pairweave.runtime import cut, materialised
 
 #: Components of more edges than this are clustered by distributed rounds instead of one task.
 COMPONENT_EDGES = 2_000_000
@@ -55,11 +55,12 @@ def _agglomerate(n: int, a: list[int], b: list[int], d: list[float]) -> list[tup
     return merges
 
 
-def _component_merges(pdf: pd.DataFrame) -> pd.DataFrame:
+def _component_merges(pdf: pd.DataFrame) -> list[tuple]:
     """The merge log of one component; nodes below ``n`` are ranks of vertices, others steps of this log."""
-    ranks = sorted(set(pdf["ra"]) | set(pdf["rb"]))
+    comp, ra, rb = pdf["comp"].iloc[0], pdf["ra"].tolist(), pdf["rb"].tolist()
+    ranks = sorted({*ra, *rb})
     local = {r: i for i, r in enumerate(ranks)}
-    merges = _agglomerate(len(ranks), [local[r] for r in pdf["ra"]], [local[r] for r in pdf["rb"]], pdf["d"].tolist())
+    merges = _agglomerate(len(ranks), [local[r] for r in ra], [local[r] for r in rb], pdf["d"].tolist())
     n = len(ranks)
     top: dict[int, int] = {}
     for k, (_, lo, hi) in enumerate(merges):
@@ -70,10 +71,10 @@ def _component_merges(pdf: pd.DataFrame) -> pd.DataFrame:
             x = top[x]
         return x
 
-    out = [(pdf["comp"].iloc[0], ranks[i], root(i) - n if i in top else -1, None, None, None, None) for i in range(n)]
+    out = [(comp, ranks[i], root(i) - n if i in top else -1, None, None, None, None) for i in range(n)]
     for k, (v, lo, hi) in enumerate(merges):
-        out.append((pdf["comp"].iloc[0], None, k, v, ranks[lo] if lo < n else -1 - (lo - n), ranks[hi] if hi < n else -1 - (hi - n), n + k in top))
-    return pd.DataFrame(out, columns=["comp", "rank", "step", "value", "lo", "hi", "inner"])
+        out.append((comp, None, k, v, ranks[lo] if lo < n else -1 - (lo - n), ranks[hi] if hi < n else -1 - (hi - n), n + k in top))
+    return out
 
 
 def _global_order(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -150,6 +151,7 @@ def complete_linkage(edges: DataFrame, vertices: DataFrame, *, component_edges:
     clusters is by merge distance, largest first, instead of the order of one global run. Ties between pairs are
     resolved by first appearance. An empty graph gives an empty result.
     """
+    edges = materialised(edges)
     roots = cut(connected_components(edges, small_graph))
     ranked = cut(_ranked(vertices).join(roots, "id", "left"))
     ends_a = ranked.select(F.col("id").alias("src"), F.col("rank").alias("ra"), F.col("root").alias("comp"))
@@ -159,7 +161,7 @@ def complete_linkage(edges: DataFrame, vertices: DataFrame, *, component_edges:
     giant = not is_empty(large)
     within = cells.join(large, "comp", "left_anti") if giant else cells
     comp_type = cells.schema["comp"].dataType.simpleString()
-    log = cut(within.groupBy("comp").applyInPandas(lambda pdf: _component_merges(pdf), f"comp {comp_type}, rank long, step long, value double, lo long, hi long, inner boolean"))
+    log = cut(per_component(within, _component_merges, f"comp {comp_type}, rank long, step long, value double, lo long, hi long, inner boolean"))
     merges = log.filter("rank is null")
     n_merges, n_vertices = merges.count(), vertices.count()
     if n_merges <= exact_numbering:

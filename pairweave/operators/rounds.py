@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +14,31 @@ from pairweave.runtime import cut
 SMALL_GRAPH = 400_000
 
 
+#: Rows that a task of :func:`per_component` should have; a larger component has a task of that size.
+TASK_ROWS = 100_000
+
+
+def per_component(rows: DataFrame, solve: Callable[[pd.DataFrame], list[tuple]], schema: str) -> DataFrame:
+    """Run ``solve`` on the rows of every component (column ``comp``) and gather the tuples it returns.
+
+    Many small components share a task, because a grouped task of its own for each would mostly be overhead.
+    """
+    names = [field.strip().split(" ")[0] for field in schema.split(",")]
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("comp", kind="stable", ignore_index=True)
+        comp = pdf["comp"].to_numpy()
+        cuts = [0, *[i for i in range(1, len(comp)) if comp[i] != comp[i - 1]], len(comp)]
+        out: list[tuple] = []
+        for a, b in zip(cuts, cuts[1:]):
+            out += solve(pdf.iloc[a:b])
+        return pd.DataFrame(out, columns=names)
+
+    bucket = F.pmod(F.xxhash64("comp"), F.lit(tasks)).alias("_task")
+    return rows.groupBy(bucket).applyInPandas(lambda pdf: run(pdf), schema)
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 

@@ -39,10 +39,17 @@ def cut(df: DataFrame, *, keep_partitioning: bool = False) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     saved = df.checkpoint(eager=True)
-    if keep_partitioning:
-        return saved
-    jdf = saved._jdf
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(jdf.queryExecution().toRdd(), jdf.schema(), False), spark)
+    if not keep_partitioning:
+        jdf = saved._jdf
+        saved = DataFrame(spark._jsparkSession.internalCreateDataFrame(jdf.queryExecution().toRdd(), jdf.schema(), False), spark)
+    saved._is_cut = True
+    return saved
+
+
+def materialised(df: DataFrame, *columns: str) -> DataFrame:
+    """The given columns of ``df``, which is cut first unless it was already."""
+    picked = df.select(*columns) if columns else df
+    return picked if getattr(df, "_is_cut", False) else cut(picked)
 
 
 def join_bounded(left: DataFrame, right: DataFrame, on, how: str = "inner", *, right_rows: int, bound: int) -> DataFrame:

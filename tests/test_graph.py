@@ -241,8 +241,9 @@ def test_refused_options(bad):
 
 def test_positions_need_no_global_window(spark):
     df = spark.range(1000).withColumn("k", (F.col("id") * 7919) % 1000)
-    got = with_position(df.repartition(7), [F.asc("k")], "p").select("k", "p").collect()
-    assert all(r["k"] == r["p"] for r in got)
-    plan = with_position(df, [F.asc("k")], "p")._jdf.queryExecution().executedPlan().toString()
+    for small in (0, 10_000):
+        got = with_position(df.repartition(7), [F.asc("k")], "p", small).select("k", "p").collect()
+        assert len(got) == 1000 and all(r["k"] == r["p"] for r in got)
+    plan = with_position(df, [F.asc("k")], "p", 0)._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
     assert number_assignments(spark.createDataFrame([], "id string, cluster_key long")).collect() == []
