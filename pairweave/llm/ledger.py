@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairweave.operators.skew import heavy_split_join
-from pairweave.runtime import ensure_checkpoint_dir
+from pairweave.runtime import cut, ensure_checkpoint_dir
 from pairweave.sources.tables import table
 
 _SCHEMA = "bucket int, key string, n_copies long, first_id long"
@@ -37,17 +37,19 @@ class Ledger:
 
     Every update writes new files for the buckets that its batch touches, and a manifest says which version holds a
     bucket; other buckets aren't read. Versions are never changed, so a job that fails leaves the last one in force.
+    A new ledger has as many buckets as the session has shuffle partitions, unless told otherwise, and keeps them.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 64):
-        self.spark, self.buckets = spark, buckets
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
+        self.spark, self.buckets = spark, buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.path = path or f"{ensure_checkpoint_dir(spark)}/ledger-{uuid.uuid4().hex}"
         self._fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest.json")
         self._fs = self._fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
         self.manifest: dict[int, str] = {}
         if self._fs.exists(self._fs_path):
             text = spark.read.text(f"{self.path}/manifest.json", wholetext=True).first()[0]
-            self.manifest = {int(k): v for k, v in json.loads(text).items()}
+            kept = json.loads(text)
+            self.buckets, self.manifest = kept["buckets"], {int(k): v for k, v in kept["versions"].items()}
 
     def _bucketed(self, keys: DataFrame) -> DataFrame:
         return keys.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int"))
@@ -65,27 +67,23 @@ class Ledger:
 
     def update(self, batch: DataFrame) -> None:
         """Add the records ``batch(key, id)``. Copies are counted before the shuffle; the smallest id represents."""
-        new = self._bucketed(batch.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")))
-        version = f"v-{uuid.uuid4().hex}"
-        staged = f"{self.path}/{version}-batch"
-        new.write.partitionBy("bucket").parquet(staged)
-        new = self.spark.read.schema("key string, n long, first long, bucket int").parquet(staged)
+        new = cut(self._bucketed(batch.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))))
         touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most ``buckets`` rows
         if not touched:
             return
-        old = self._read(touched)
-        merged = old.join(new, ["bucket", "key"], "full_outer").select(
+        merged = self._read(touched).join(new, ["bucket", "key"], "full_outer").select(
             "bucket",
             "key",
             (F.coalesce("n_copies", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("n_copies"),
             F.least("first_id", "first").alias("first_id"),
         )
-        merged.write.partitionBy("bucket").parquet(f"{self.path}/{version}")
+        # a bucket is a hash of the key, so buckets are even; one task writes each, in one file
+        version = f"v-{uuid.uuid4().hex}"
+        merged.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{version}")
         self.manifest |= dict.fromkeys(touched, version)
         out = self._fs.create(self._fs_path, True)
-        out.write(bytearray(json.dumps(self.manifest).encode()))
+        out.write(bytearray(json.dumps({"buckets": self.buckets, "versions": self.manifest}).encode()))
         out.close()
-        self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(staged), True)
 
 
 def id_ranges(records: DataFrame, id_col: str, batches: int) -> list[DataFrame]:
