@@ -78,7 +78,7 @@ def field_winners(records: DataFrame, members: DataFrame, trust: DataFrame, rule
     newest = F.max(F.struct("bin", "votes"))
     per_value = per_value.groupBy("group", "field", "value").agg(F.sum("n").alias("n"), F.max("best").alias("best"), newest["bin"].alias("top_bin"), F.collect_list(F.struct("bin", "votes")).alias("bins"))
     score = F.log2(F.aggregate("bins", F.lit(0.0), lambda s, b: s + F.when(b["bin"].isNull(), F.lit(0.0)).otherwise(b["votes"] * F.pow(F.lit(2.0), b["bin"] - F.col("top_bin"))))) + F.col("top_bin")
-    per_value = per_value.select("group", "field", "value", "n", "best", F.coalesce(score, F.lit(-1e300)).alias("score"))
+    per_value = per_value.select("group", "field", "value", "n", "best", F.coalesce(F.round(score, 9), F.lit(-1e300)).alias("score"))
     order = F.col("best") if rule == "order" else F.struct("score", "best")
     won = per_value.groupBy("group", "field").agg(F.max_by(F.struct("value", "best", "score"), order).alias("w"), F.sum("n").alias("n"))
     out = [F.max(F.when(F.col("field") == "*", F.col("n"))).alias("n_records")]
@@ -125,4 +125,18 @@ with trust as (select regexp_replace(lower(provider), '[^\p{L}\p{N}]', '', 'g')
 select big.cluster, coalesce(s.rec_id, 0) as seq_len_rec, coalesce(n.rec_id, 0) as no_parts_rec
 from big left join s on s.cluster = big.cluster and s.k = 1 left join n on n.cluster = big.cluster and n.k = 1
 """
-ORACLE = {"p1_found": _SQL}
+_VOTES = r"""
+with trust as (select regexp_replace(lower(provider), '[^\p{L}\p{N}]', '', 'g') as p, min(trust_rank) as rank from providers group by 1),
+     c as (select distinct object, cluster from toy_clusters where object is not null and cluster is not null),
+     r as (select c.cluster, i.rec_id, i.seq_len, i.no_parts, i.updated_at, trust.rank,
+             coalesce(case when trust.rank is null then 1.0 / 65536 else 1.0 / greatest(trust.rank, 1) end * pow(2, epoch_us(i.updated_at) / (86400000000.0 * 30) - 640), 0) as vote
+           from toy_ids i join c on c.object = i.id left join trust on trust.p = regexp_replace(lower(i.provider), '[^\p{L}\p{N}]', '', 'g') and trust.p <> ''),
+     big as (select cluster, count(*) as n_records from r group by 1 having count(*) >= 2),
+     s as (select *, sum(vote) over (partition by cluster, seq_len) as votes from r where seq_len between 1000 and 3000000),
+     n as (select *, sum(vote) over (partition by cluster, no_parts) as votes from r where no_parts between 1 and 500),
+     s1 as (select cluster, seq_len, row_number() over (partition by cluster order by round(log2(votes + 1e-300), 9) desc, coalesce(rank, 1000000), updated_at desc nulls last, rec_id) as k from s),
+     n1 as (select cluster, no_parts, row_number() over (partition by cluster order by round(log2(votes + 1e-300), 9) desc, coalesce(rank, 1000000), updated_at desc nulls last, rec_id) as k from n)
+select big.cluster, n_records, s1.seq_len, n1.no_parts::bigint as no_parts
+from big left join s1 on s1.cluster = big.cluster and s1.k = 1 left join n1 on n1.cluster = big.cluster and n1.k = 1
+"""
+ORACLE = {"p1_found": _SQL, "p1_votes": _VOTES}
