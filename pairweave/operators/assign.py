@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairweave.operators.skew import heavy_split_join
 from pairweave.runtime import cut, materialised
 
 #: Up to so many counted rows, one task numbers a table.
@@ -43,8 +44,8 @@ def with_position(df: DataFrame, order: list[Column], name: str, small_table: in
 def number_assignments(keyed: DataFrame) -> DataFrame:
     """``(id, cluster)`` from ``(id, cluster_key)``."""
     keyed = materialised(keyed)
-    numbers = numbered_clusters(keyed).select("cluster_key", "cluster")
-    return keyed.join(numbers, "cluster_key").select("id", "cluster")
+    numbers = numbered_clusters(keyed)
+    return heavy_split_join(keyed, numbers, "cluster_key", "n", keyed.count()).select("id", "cluster")
 
 
 def add_listed_objects(assigned: DataFrame, objects: DataFrame, *, missing: str = "raise") -> DataFrame:
@@ -74,8 +75,9 @@ def add_listed_objects(assigned: DataFrame, objects: DataFrame, *, missing: str
 def representatives(assigned: DataFrame, out_key: str) -> DataFrame:
     """Replace ``cluster`` by the object that comes first in the cluster in output order; ``cluster_no`` keeps the
     number."""
-    first = assigned.groupBy("cluster").agg(F.min_by("object", out_key).alias("_rep"))
-    named = assigned.join(first, "cluster")
+    assigned = materialised(assigned)
+    first = assigned.groupBy("cluster").agg(F.min_by("object", out_key).alias("_rep"), F.count(F.lit(1)).alias("_n"))
+    named = heavy_split_join(assigned, first, "cluster", "_n", assigned.count())
     return named.withColumns({"cluster_no": F.col("cluster"), "cluster": F.col("_rep")}).drop("_rep")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pairweave.operators.edges import symmetrize
 from pairweave.operators.rounds import SMALL_GRAPH, follow_to_roots, is_empty
+from pairweave.operators.skew import heavy_split_join
 from pairweave.runtime import cut, materialised
 
 
@@ -69,5 +70,5 @@ def single_linkage(edges: DataFrame, vertices: DataFrame, small_graph: int = SMA
     """``(id, cluster_key)``: the component's smallest ``proc_key``. Vertices without an edge stand alone."""
     roots = connected_components(edges, small_graph)
     labelled = cut(vertices.select("id", "proc_key").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
-    keys = labelled.groupBy("root").agg(F.min("proc_key").alias("cluster_key"))
-    return labelled.join(keys, "root").select("id", "cluster_key")
+    keys = cut(labelled.groupBy("root").agg(F.min("proc_key").alias("cluster_key"), F.count(F.lit(1)).alias("n")))
+    return heavy_split_join(labelled, keys, "root", "n", labelled.count()).select("id", "cluster_key")

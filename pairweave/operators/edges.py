@@ -70,7 +70,7 @@ def edge_counts(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: rows that survived, undirected edges, directed entries."""
     n = rows.agg(F.count(F.lit(1)).alias("n_rows"))
     e = edges.agg(F.count(F.lit(1)).alias("n_edges"), (2 * F.count(F.lit(1))).alias("n_directed"))
-    return n.join(e)  # one row each
+    return n.unionByName(e, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in ("n_rows", "n_edges", "n_directed")])
 
 
 def histogram_bounds(step: float = 0.001, top: float = 0.05) -> list[float]:

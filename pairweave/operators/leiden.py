@@ -197,6 +197,7 @@ def leiden(edges: DataFrame, vertices: DataFrame, *, resolution: float = 0.7, be
 def cpm_quality(edges: DataFrame, members: DataFrame, resolution: float) -> DataFrame:
     """One row ``(quality)``: weight inside communities minus ``resolution`` times the pairs inside."""
     a, b = members.select(F.col("id").alias("src"), F.col("community").alias("ca")), members.select(F.col("id").alias("dst"), F.col("community").alias("cb"))
-    inside = edges.join(a, "src").join(b, "dst").filter("ca = cb").agg(F.coalesce(F.sum(1.0 - F.col("d")), F.lit(0.0)).alias("w"))
-    pairs = members.groupBy("community").count().agg(F.coalesce(F.sum(F.col("count") * (F.col("count") - 1) / 2), F.lit(0.0)).alias("p"))
-    return inside.join(pairs).select((F.col("w") - resolution * F.col("p")).alias("quality"))
+    inside = edges.join(a, "src").join(b, "dst").filter("ca = cb").select((1.0 - F.col("d")).alias("q"))
+    n = F.col("count")
+    pairs = members.groupBy("community").count().select((-F.lit(resolution) * n * (n - 1) / 2).alias("q"))
+    return inside.unionByName(pairs).agg(F.coalesce(F.sum("q"), F.lit(0.0)).alias("quality"))

@@ -112,7 +112,7 @@ def leiden_quality(spark: SparkSession, folder: str) -> DataFrame:
     found = keyed_clusters(graph, options).select("id", F.to_json("cluster_key").alias("community"))
     parts = keyed_clusters(graph, _options(algo="single")).select("id", F.to_json("cluster_key").alias("community"))
     a, b = cpm_quality(graph.edges, found, 0.7), cpm_quality(graph.edges, parts, 0.7).withColumnRenamed("quality", "quality_of_components")
-    return a.join(b)  # one row each
+    return a.unionByName(b, allowMissingColumns=True).agg(F.round(F.max("quality"), 6).alias("quality"), F.round(F.max("quality_of_components"), 6).alias("quality_of_components"))
 
 
 def _objects(spark: SparkSession, folder: str) -> DataFrame:
