@@ -9,21 +9,27 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairweave.runtime import cut
+from pairweave.runtime import cut, materialised
 
 #: A key counts as heavy from one in so many rows on; by the pigeonhole principle there are at most so many.
 HEAVY_SHARE = 2_000
+#: A side of up to so many counted rows is broadcast whole.
+SMALL_SIDE = 20_000
 
 
-def heavy_split_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, *, how: str = "inner", share: int = HEAVY_SHARE) -> DataFrame:
+def heavy_split_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, *, how: str = "inner", share: int = HEAVY_SHARE, small_side: int = SMALL_SIDE) -> DataFrame:
     """Join ``left`` with ``right``, whose keys are unique, without sending a heavy key's rows to one task.
 
     ``right[weight]`` counts the rows of ``left`` per key and ``total`` all of them. At most ``share`` keys can hold
     a ``1/share`` of the rows each; their rows of ``right`` are broadcast, all others meet in a shuffled join.
-    ``how`` is ``inner`` or ``left``. Null keys match nothing.
+    A ``right`` of up to ``small_side`` counted rows is broadcast whole. ``how`` is ``inner`` or ``left``. Null keys
+    match nothing.
     """
     limit = max(1, -(-total // share))
     payload = [c for c in right.columns if c != weight]
+    right = materialised(right)
+    if right.count() <= small_side:
+        return left.join(F.broadcast(right.select(*payload)), key, how)
     heavy = F.broadcast(right.filter(F.col(weight) >= limit).select(*payload))
     light = right.filter(F.col(weight) < limit).select(*payload)
     one = left.join(heavy, key, "inner")

@@ -55,5 +55,6 @@ def test_heavy_split_join_is_a_join(spark, share, how):
     left = [(k, i) for i, k in enumerate(["a"] * 20 + ["b"] * 3 + ["c", "zz", None])]
     right = [("a", 20, 1), ("b", 3, 2), ("c", 1, 3), ("d", 0, 4)]
     a, b = spark.createDataFrame(left, "key string, i long"), spark.createDataFrame(right, "key string, n long, x int")
-    got = heavy_split_join(a, b, "key", "n", len(left), how=how, share=share)
-    assert sorted(map(str, got.collect())) == sorted(map(str, a.join(b.drop("n"), "key", how).collect()))
+    for small in (0, 10):
+        got = heavy_split_join(a, b, "key", "n", len(left), how=how, share=share, small_side=small)
+        assert sorted(map(str, got.collect())) == sorted(map(str, a.join(b.drop("n"), "key", how).collect()))
