@@ -133,7 +133,7 @@ def shared_windows(documents: DataFrame, items: DataFrame, width: int, *, exact:
     Result: ``(doc_id, item_id, doc_position, item_position, same)``. Null, empty and short texts have no window.
     """
     out = None
-    for block in _blocks(items, block_items):
+    for block in _blocks(items.select("id", "text"), block_items):
         block = cut(block)
         slots = {r["word"]: r["slot"] for r in slot_lexicon(block).collect()}  # bounded by the block
         there = cut(_windows(block, width, slots, None))

@@ -101,8 +101,9 @@ def collapse(records: DataFrame, ledger: Ledger, *, batches: int = 3) -> DataFra
     Sets of one come out with themselves as first. Null keys aren't expected (see :func:`unordered_key`); ids must be
     unique. An empty table gives an empty result.
     """
+    records = records.select("id", "key")
     for batch in id_ranges(records, "id", batches):
-        ledger.update(batch.select("key", "id"))
+        ledger.update(batch)
     return heavy_split_join(records, ledger.counts().withColumn("_n", F.col("n_copies")), "key", "_n", records.count()).select("id", "first_id", "n_copies")
 
 

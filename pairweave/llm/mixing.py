@@ -59,7 +59,8 @@ def budgets(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     positive share. Without ``total_tokens`` the total is the largest for which every such source can supply its
     share within its repeats; with it, a source that can't supplies what it can. Sources without tokens get none.
     """
-    joined = targets.filter("source is not null").join(sizes, "source", "left").withColumn("available", F.coalesce("available", F.lit(0)))
+    listed = targets.select("source", "target_share", "max_repeats").filter("source is not null")
+    joined = listed.join(sizes.select("source", "available"), "source", "left").withColumn("available", F.coalesce("available", F.lit(0)))
     live = (F.col("available") > 0) & (F.col("target_share") > 0) & (F.col("max_repeats") > 0)
     limit = F.col("available") * F.col("max_repeats")
     facts = joined.agg(F.sum(F.when(live, F.col("target_share"))).alias("shares"), F.min(F.when(live, limit / F.col("target_share"))).alias("room")).first()

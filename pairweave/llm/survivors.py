@@ -48,12 +48,13 @@ def field_winners(records: DataFrame, members: DataFrame, trust: DataFrame, rule
     Votes are first summed per object, on both sides of whose join each object is unique, and then per group, so
     neither a record-rich object nor a large group ever meets in one task. Objects without records, records without a
     group, null ids and null groups drop out; repeated rows of ``members`` count once, repeated records each.
-    An empty table gives an empty result.
+    Other columns, whatever their names, are ignored. An empty table gives an empty result.
     """
     if rule not in ("order", "votes"):
         raise ValueError("rule must be 'order' or 'votes'")
     ranks = trust.select(plain_name(F.col("provider")).alias("_p"), "trust_rank").filter("_p is not null").groupBy("_p").agg(F.min("trust_rank").alias("rank"))
-    named = records.withColumn("_p", plain_name(F.col("provider"))).join(ranks, "_p", "left")
+    records = records.select("rec_id", "id", "updated_at", plain_name(F.col("provider")).alias("_p"), *rules)
+    named = records.join(ranks, "_p", "left")
     # the recency decay is taken relative to a fixed day and rescaled per group, which leaves every comparison alone
     age = F.unix_micros(F.col("updated_at").cast("timestamp")) / F.lit(86_400_000_000.0 * half_life_days)
     best = F.struct((-F.coalesce("rank", F.lit(1 << 30))).alias("trust"), F.col("updated_at").alias("at"), (-F.col("rec_id")).alias("neg_id"))

@@ -8,7 +8,7 @@ from pairweave.llm.ledger import Ledger, collapse, unordered_key
 
 def keys(spark, rows):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, id1 string, id2 string, ani double, cov double")
-    return df.withColumn("key", unordered_key([F.col("id1"), F.col("id2")], [F.col("ani"), F.col("cov")])).select("id", "key")
+    return df.withColumn("key", unordered_key([F.col("id1"), F.col("id2")], [F.col("ani"), F.col("cov")])).selectExpr("id", "key", "1 as n_copies", "2 as first_id", "3 as bucket")
 
 
 def test_forms_of_a_record(spark):

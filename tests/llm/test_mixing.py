@@ -12,11 +12,11 @@ pytestmark = pytest.mark.skipif(not os.path.exists(f"{TOKENIZERS}/byte_bpe_50k.t
 def documents(spark):
     rows = [(i, ("big", "big", "big", "small", "mid", "unlisted", None)[i % 7], "some words of text number %d " % i * (1 + i % 5)) for i in range(700)]
     rows += [(10_000, "big", None), (10_001, "big", ""), (10_002, "small", "word " * 3000)]
-    return spark.createDataFrame(rows, "id long, source string, text string").withColumn("quality", quality(F.col("text")))
+    return spark.createDataFrame(rows, "id long, source string, text string").withColumns({"quality": quality(F.col("text")), "n_tokens": F.lit(0), "draw": F.lit(0)})
 
 
 def targets(spark, rows=(("big", 0.5, 1), ("small", 0.3, 3), ("mid", 0.15, 2), ("gone", 0.05, 2), ("off", 0.0, 0))):
-    return spark.createDataFrame(list(rows), "source string, target_share double, max_repeats int")
+    return spark.createDataFrame(list(rows), "source string, target_share double, max_repeats int").withColumns({"available": F.lit(7), "budget": F.lit(8)})
 
 
 def test_shares_caps_and_epochs(spark):

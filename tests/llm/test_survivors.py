@@ -7,7 +7,7 @@ import pytest
 from pairweave.llm.survivors import FieldRule, field_winners
 
 RULES = {"seq_len": FieldRule(1_000, 3_000_000), "no_parts": FieldRule(1, 500)}
-RECORD = "rec_id long, id string, seq_len long, no_parts int, provider string, updated_at timestamp, cluster int"
+RECORD = "rec_id long, id string, seq_len long, no_parts int, provider string, updated_at timestamp, rank int"
 TRUST = [("Ternvault", 1), ("Mill-Brook", 2), ("mill brook", 3), ("Kestrel", 2), ("???", 1), (None, 1)]
 RANK = {"ternvault": 1, "millbrook": 2, "kestrel": 2}
 
@@ -15,7 +15,7 @@ RANK = {"ternvault": 1, "millbrook": 2, "kestrel": 2}
 def frames(spark, records, members):
     return (
         spark.createDataFrame(records, RECORD),
-        spark.createDataFrame(members, "id string, `group` long, rec_id int"),
+        spark.createDataFrame(members, "id string, `group` long, field int"),
         spark.createDataFrame(TRUST, "provider string, trust_rank int"),
     )
 
