@@ -107,57 +107,67 @@ def _merge(arcs: DataFrame, state: DataFrame) -> DataFrame | None:
     return cut(state.join(pairs.select(F.col("y").alias("c"), "x"), "c", "left").select("id", F.coalesce("x", "c").alias("c")))
 
 
-def _move(arcs: DataFrame, state: DataFrame, turn: int, seed: int) -> DataFrame:
-    """Let about half of the records move to the cluster most of which they are similar to, or out of all: ``(id, c,
-    wanted)``. What a record gains is the similar members less half of the other members, and must be positive."""
+def _move(arcs: DataFrame, state: DataFrame, salt: int, seed: int, *, apart: bool) -> DataFrame:
+    """Let records move to the cluster most of which they are similar to, or out of all: ``(id, c, wanted)``. What a
+    record gains is the similar members less half of the other members, and must be positive.
+
+    About half of those that want to move do. With ``apart`` it is those whose gain is the largest of all moves from or
+    to either of their two clusters instead: no two of them share a cluster, so their gains add up.
+    """
     sizes = state.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
     near = arcs.join(state.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id"), "c").agg(F.count(F.lit(1)).alias("s"))
     own = state.select("id", F.col("c").alias("own"))
     rated = near.join(sizes, "c").join(own, "id").select("id", "own", "c", (F.col("s") - 0.5 * (F.col("n") - (F.col("own") == F.col("c")).cast("int"))).alias("gain"))
-    best = rated.groupBy("id").agg(F.min(F.struct((-F.col("gain")).alias("neg"), (F.col("own") != F.col("c")).alias("away"), F.col("c").alias("c"))).alias("b"))
+    now = F.max(F.when(F.col("own") == F.col("c"), F.col("gain"))).alias("now")
+    best = rated.groupBy("id").agg(F.min(F.struct((-F.col("gain")).alias("neg"), (F.col("own") != F.col("c")).alias("away"), F.col("c").alias("c"))).alias("b"), now)
     size = own.join(sizes.withColumnRenamed("c", "own"), "own").join(best, "id", "left")
-    out = F.concat(F.col("id"), F.lit(f"#{turn}"))
+    out = F.concat(F.col("id"), F.lit(f"#{salt}"))
     goal = F.when(F.col("b.neg") < 0, F.col("b.c")).when(F.col("n") > 1, out).otherwise(F.col("own"))
-    wants = size.select("id", "own", goal.alias("goal"))
-    may = _chance("id", seed, 1_000 + turn) < 0.5
+    # without a similar member, what a record has now is minus half of the others
+    gained = F.greatest(-F.col("b.neg"), F.lit(0.0)) - F.coalesce("now", -0.5 * (F.col("n") - 1))
+    wants = size.select("id", "own", goal.alias("goal"), gained.alias("gained"))
     wanted = F.col("goal") != F.col("own")
-    return wants.select("id", F.when(may & wanted, F.col("goal")).otherwise(F.col("own")).alias("c"), wanted.alias("wanted"))
+    if not apart:
+        may = _chance("id", seed, salt) < 0.5
+        return wants.select("id", F.when(may & wanted, F.col("goal")).otherwise(F.col("own")).alias("c"), wanted.alias("wanted"))
+    wants = cut(wants)
+    moves = wants.filter(wanted).select("id", F.struct((-F.col("gained")).alias("neg"), "id").alias("key"), F.explode(F.array("own", "goal")).alias("c"))
+    first = moves.groupBy("c").agg(F.min("key").alias("key")).groupBy(F.col("key.id").alias("id")).agg((F.count(F.lit(1)) == 2).alias("may"))
+    return wants.join(first, "id", "left").select("id", F.when(F.coalesce("may", F.lit(False)), F.col("goal")).otherwise(F.col("own")).alias("c"), wanted.alias("wanted"))
 
 
-def majority_groups(edges: DataFrame, start: DataFrame, *, turns: int = 60, seed: int = 1) -> DataFrame:
-    """``(id, c)``: clusters in which every member is similar to more than half of the others.
+def majority_groups(edges: DataFrame, start: DataFrame, *, turns: int = 60, phases: int = 8, seed: int = 1) -> DataFrame:
+    """``(id, c)``: clusters of two or more in which every member is similar to more than half of the others.
 
     From the clusters ``start(id, c)``, records move (see :func:`_move`) until none wants to, then clusters that
-    belong together merge, and so on. Records similar to at most half of every cluster end up alone and are left out.
+    belong together merge, and so on until there is neither a move nor a merge. Records similar to at most half of
+    every cluster end up alone and are left out.
+
+    Half of the records moving at once can go round in circles. So in each of the first ``phases`` between merges they
+    do for the first ``turns``, and after that only moves apart are made: each of these, and each merge, raises the
+    similar pairs within clusters less half of all pairs there, or keeps that and adds a cluster, so the loop ends.
+    Turns are counted in their phase, in which settled components stay as they are: no component's clusters depend on
+    what else is in the graph.
     """
     arcs = cut(symmetrize(edges).select("src", "dst"))
     state = cut(start.select("id", "c"))
-    turn = 0
-    while turn < turns:
+    phase = 0
+    while True:
         merged = _merge(arcs, state)
         while merged is not None:
             state = merged
             merged = _merge(arcs, state)
-        settled = True
-        while turn < turns:
+        turn, settled = 0, False
+        while not settled:
             turn += 1
-            stepped = cut(_move(arcs, state, turn, seed))
-            waiting = not is_empty(stepped.filter("wanted"))
+            stepped = cut(_move(arcs, state, 1_000 * (phase + 1) + turn, seed, apart=phase >= phases or turn > turns))
+            settled = is_empty(stepped.filter("wanted"))
             state = stepped.select("id", "c")
-            if not waiting:
-                break
-            settled = False
-        if settled:
+        if turn == 1:
             break
-    # whatever the turns have left undone is undone by dropping members until the rule holds
-    while True:
-        sizes = state.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
-        inside = arcs.join(state.select(F.col("id").alias("src"), F.col("c").alias("a")), "src").join(state.select(F.col("id").alias("dst"), F.col("c").alias("b")), "dst").filter("a = b")
-        degree = inside.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("s"))
-        checked = cut(state.join(sizes, "c").join(degree, "id", "left").select("id", "c", (2 * F.coalesce("s", F.lit(0)) > F.col("n") - 1).alias("fits")))
-        state = checked.filter("fits").select("id", "c")
-        if is_empty(checked.filter("not fits")):
-            return state
+        phase += 1
+    sizes = state.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    return state.join(sizes.filter("n > 1"), "c").select("id", "c")
 
 
 def similar_groups(pairs: DataFrame, *, seed: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -166,7 +176,7 @@ def similar_groups(pairs: DataFrame, *, seed: int = 1) -> tuple[DataFrame, DataF
     ``pairs(a, b, s)`` holds pairs of similar records. Either order and repeats count once, with the highest
     similarity; pairs of a record with itself and pairs with nulls don't count. Records become sparse vectors
     (:func:`neighbourhood_vectors`), k-means from oversampled seeds clusters them (:func:`k_means`), and an exact
-    check moves, merges and drops until every member of a group is similar to more than half of the others
+    check moves and merges until every member of a group is similar to more than half of the others
     (:func:`majority_groups`).
 
     Result: ``(group_id, id)`` with the smallest member as group_id, and ``(group_id, size, typical)`` with up to

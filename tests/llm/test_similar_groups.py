@@ -2,7 +2,7 @@ import random
 from collections import defaultdict
 from itertools import combinations
 
-from pairweave.llm.similar_groups import k_means, member_pairs, neighbourhood_vectors, similar_groups
+from pairweave.llm.similar_groups import k_means, majority_groups, member_pairs, neighbourhood_vectors, similar_groups
 
 SCHEMA = "a string, b string, s double, group_id int"
 
@@ -62,6 +62,26 @@ def test_rule_holds_on_any_graph(spark):
         assert len(g) >= 2 and all(2 * len(near[x] & g) > len(g) - 1 for x in g)
 
 
+def test_moves_go_on_until_none_is_left(spark):
+    rng = random.Random(11)
+    names = [f"v{i:02}" for i in range(40)]
+    rows = [(a, b, 1.0) for a, b in combinations(names, 2) if rng.random() < 0.5]
+    start = spark.createDataFrame([(x, f"c{i % 4}") for i, x in enumerate(names)], "id string, c string")
+    edges = spark.createDataFrame(rows, "src string, dst string, s double")
+    near = {x: {b if a == x else a for a, b, _ in rows if x in (a, b)} for x in names}
+    for options in ({"turns": 2}, {"phases": 0}):
+        by = defaultdict(set)
+        for r in majority_groups(edges, start, **options).collect():
+            by[r["c"]].add(r["id"])
+        groups = [*by.values(), *({x} for x in names if all(x not in g for g in by.values()))]
+        gain = lambda x, g: len(near[x] & g) - len(g - {x}) / 2
+        for g in groups:
+            for x in g:
+                assert len(g) == 1 or gain(x, g) > 0
+                assert all(gain(x, h) <= gain(x, g) for h in groups)
+            assert all(sum(gain(x, h) for x in g) <= 0 for h in groups if h is not g)
+
+
 def test_pendant_is_not_a_member(spark):
     rows = [(a, b, 0.99, 0) for a, b in combinations("abcd", 2)] + [("d", "e", 0.99, 0)]
     got, _ = found(spark, rows)
