@@ -21,9 +21,15 @@ BLOCK_ITEMS = 20_000
 #: Windows of a block are broadcast for the join up to so many; beyond, both sides are shuffled.
 BROADCAST_WINDOWS = 200_000
 #: Placeholders can't be words, since words hold letters and digits only.
-NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
+NUMBER, NAME, UNIT, SLOT = "<number>", "<name>", "<unit>", "<slot>"
+#: Successive words without a name or unit by which a retold item is looked for in documents.
+ANCHOR = 4
+#: Windows of retold items, which are wide rows, are broadcast up to so many.
+BROADCAST_RETOLD = 20_000
 
-_CASED = re.compile(r"[^\W_]+|[.?!:)]")
+#: Numbers with their decimals and groups of digits are one word each, units glued to them another.
+_PARTS = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+")
+_CASED = re.compile(_PARTS.pattern + r"|[.?!:)]")
 
 
 def _lexicon_votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -37,8 +43,8 @@ def _lexicon_votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if token in ".?!:)":
                     before, number = token, False
                     continue
-                rows.append((token.lower(), 1, int(token[0].isupper() and len(token) > 2 and before == ""), int(token.islower()), int(number and not token.isdigit())))
-                before, number = "", token.isdigit()
+                rows.append((token.lower(), 1, int(token[0].isupper() and len(token) > 2 and before == ""), int(token.islower()), int(number and not token[0].isdigit())))
+                before, number = "", token[0].isdigit()
         yield pd.DataFrame(rows, columns=["word", "n", "capital", "lower", "after_number"])
 
 
@@ -121,6 +127,124 @@ def _blocks(items: DataFrame, size: int) -> list[DataFrame]:
     return [placed.filter(F.col("_k").between(b, b + size - 1)).drop("_k") for b in range(0, n, size)]
 
 
+def parts(text: str | None) -> list[str]:
+    """Lower-case words and numbers of the text without its markup; see ``_PARTS``."""
+    return _PARTS.findall(without_markup(text).lower()) if isinstance(text, str) else []
+
+
+def _run_hashes(coded: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of ``width`` successive codes."""
+    n = max(0, len(coded) - width + 1)
+    rolling = np.full(n, width, np.uint64)
+    for k in range(width):
+        rolling = rolling * np.uint64(0x9E3779B97F4A7C15) + coded[k : k + n]
+    return (rolling ^ (rolling >> np.uint64(29))).view(np.int64)
+
+
+def _codes(words_: list[str], known: dict[str, int]) -> np.ndarray:
+    return np.array([known.get(w) or known.setdefault(w, xxhash.xxh64_intdigest(w.encode())) for w in words_], np.uint64)
+
+
+_PATTERN = "item_id long, item_position long, anchor long, offset int, anchored boolean, item array<string>, pattern array<string>"
+
+
+def _patterns(items: DataFrame, width: int, slots: dict[str, str]) -> DataFrame:
+    """Every window of ``items(id, text)`` with its pattern: words, NUMBER, or SLOT where any word may stand.
+
+    The anchor is the run of :data:`ANCHOR` words without a SLOT of least hash, or the whole pattern if there is none.
+    """
+    given = items.sparkSession.sparkContext.broadcast(slots)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            rows = []
+            for ident, text in zip(batch["id"].tolist(), batch["text"]):
+                found = parts(text)
+                pattern = [NUMBER if w[0].isdigit() else SLOT if w in given.value else w for w in found]
+                coded = _codes(pattern, known)
+                short, whole = _run_hashes(coded, ANCHOR).tolist(), _run_hashes(coded, width).tolist()
+                clean = [SLOT not in pattern[k : k + ANCHOR] for k in range(len(short))]
+                for s in range(len(whole)):
+                    best = min(((short[k], k - s) for k in range(s, s + width - ANCHOR + 1) if clean[k]), default=None)
+                    rows.append((ident, s, *(best or (whole[s], 0)), best is not None, found[s : s + width], pattern[s : s + width]))
+            yield pd.DataFrame(rows, columns=["item_id", "item_position", "anchor", "offset", "anchored", "item", "pattern"])
+
+    return items.select("id", "text").mapInPandas(run, _PATTERN)
+
+
+def _places(documents: DataFrame, width: int, slots: dict[str, str], plain: set[str], short: np.ndarray, whole: np.ndarray) -> DataFrame:
+    """Where anchors stand in ``documents(id, text)``, with the words around that a window can reach.
+
+    For anchors that are whole patterns, words of ``slots`` and words that no item uses (not in ``plain``) are slots.
+    """
+    given = documents.sparkSession.sparkContext.broadcast((slots, plain, short, whole))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        slots, plain, short, whole = given.value
+        known: dict[str, int] = {}
+        for batch in batches:
+            rows = []
+            if len(known) > 1_000_000:
+                known = {}
+            for ident, text in zip(batch["id"].tolist(), batch["text"]):
+                found = parts(text)
+                if len(found) < width:
+                    continue
+                typed = [NUMBER if w[0].isdigit() else w for w in found]
+                hashed = _run_hashes(_codes(typed, known), ANCHOR)
+                for q in np.flatnonzero(np.isin(hashed, short)).tolist():
+                    a = max(0, q - width + ANCHOR)
+                    rows.append((ident, q, int(hashed[q]), q - a, True, found[a : q + width]))
+                if len(whole):
+                    hashed = _run_hashes(_codes([w if w == NUMBER or w in plain and w not in slots else SLOT for w in typed], known), width)
+                    for q in np.flatnonzero(np.isin(hashed, whole)).tolist():
+                        rows.append((ident, q, int(hashed[q]), 0, False, found[q : q + width]))
+            yield pd.DataFrame(rows, columns=["doc_id", "at", "anchor", "lead", "anchored", "around"])
+
+    return documents.select("id", "text").mapInPandas(run, "doc_id long, at long, anchor long, lead int, anchored boolean, around array<string>")
+
+
+def retold_windows(documents: DataFrame, items: DataFrame, width: int, *, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """Windows of ``width`` words of items that documents tell with any other numbers, names or units.
+
+    Names and units are those of :func:`slot_lexicon` over all items. In a document any word may stand in their place,
+    known to the items or not, and in any case. Numbers stand for numbers. Equal words on one side must be equal words
+    on the other. Documents are looked through for runs of :data:`ANCHOR` words of the item without a name or unit; a
+    window without such a run needs, in place of names and units, names and units of the items or words that no item
+    has. Result as of :func:`shared_windows`; positions count numbers, and units glued to them, as words.
+    """
+    out = None
+    items = items.select("id", "text")
+    slots = {r["word"]: r["slot"] for r in slot_lexicon(items).collect()}  # bounded by the vocabulary of the items
+    plain: set[str] | None = None
+    for block in _blocks(items, block_items):
+        there = cut(_patterns(block, width, slots))
+        anchors = [(r["anchor"], r["anchored"]) for r in there.select("anchor", "anchored").distinct().collect()]  # bounded by the block
+        short, whole = (np.array(sorted(a for a, b in anchors if b == kind), np.int64) for kind in (True, False))
+        if len(whole) and plain is None:
+            used = items.select("text").mapInPandas(lambda batches: (pd.DataFrame({"w": sorted({w for t in b["text"] for w in parts(t)})}, dtype=object) for b in batches), "w string")
+            plain = {r["w"] for r in used.distinct().collect()}  # bounded by the vocabulary of the items
+        here = _places(documents, width, slots, plain or set(), short, whole)
+        if there.count() <= BROADCAST_RETOLD:
+            there = F.broadcast(there)
+        begin = F.col("lead") - F.col("offset")
+        met = here.join(there, ["anchor", "anchored"]).filter((begin >= 0) & (begin + width <= F.size("around")))
+        met = met.select("doc_id", "item_id", (F.col("at") - F.col("offset")).alias("doc_position"), "item_position", F.slice("around", F.greatest(begin, F.lit(0)) + 1, F.lit(width)).alias("told"), "item", "pattern")
+        number = lambda w: w.rlike(r"^\p{Nd}")
+        fits = F.zip_with("told", "pattern", lambda w, p: F.when(p == SLOT, ~number(w)).when(p == NUMBER, number(w)).otherwise(w == p))
+        met = met.filter(F.forall(fits, lambda x: x))
+        filled = F.filter(F.arrays_zip("told", "item", "pattern"), lambda z: z["pattern"].isin(SLOT, NUMBER))
+        pairs = F.array_distinct(F.transform(filled, lambda z: F.struct(z["told"].alias("d"), z["item"].alias("i"))))
+        met = met.withColumn("pairs", pairs)
+        one_to_one = (F.size(F.array_distinct(F.col("pairs.d"))) == F.size("pairs")) & (F.size(F.array_distinct(F.col("pairs.i"))) == F.size("pairs"))
+        met = met.filter(one_to_one).select("doc_id", "item_id", "doc_position", "item_position", (F.col("told") == F.col("item")).alias("same"))
+        out = met if out is None else out.unionByName(met)
+    if out is None:
+        return documents.sparkSession.createDataFrame([], "doc_id long, item_id long, doc_position long, item_position long, same boolean")
+    return out
+
+
 def shared_windows(documents: DataFrame, items: DataFrame, width: int, *, exact: bool, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """Pairs of windows of ``width`` words with equal templates whose slots are consistent.
 
@@ -128,10 +252,12 @@ def shared_windows(documents: DataFrame, items: DataFrame, width: int, *, exact:
     typed placeholders; windows of both sides meet on the hash of their template. With ``exact`` the slots must hold
     the same words (so must all other words, which also rules out hash collisions). Otherwise slots are consistent
     if equal words on one side are equal words on the other, so an item told again with other numbers and names is
-    found as well.
+    found as well; see :func:`retold_windows`.
 
     Result: ``(doc_id, item_id, doc_position, item_position, same)``. Null, empty and short texts have no window.
     """
+    if not exact:
+        return retold_windows(documents, items, width, block_items=block_items)
     out = None
     for block in _blocks(items.select("id", "text"), block_items):
         block = cut(block)
@@ -144,13 +270,7 @@ def shared_windows(documents: DataFrame, items: DataFrame, width: int, *, exact:
         if there.count() <= BROADCAST_WINDOWS:
             there = F.broadcast(there)
         same = F.col("words") == F.col("item_words")
-        if exact:
-            met = here.join(there, (here["template"] == there["template"]) & same)
-        else:
-            d, i = F.col("doc_slots"), F.col("item_slots")
-            kinds = F.size(F.array_distinct(F.arrays_zip(d, i)))
-            consistent = (F.size(F.array_distinct(d)) == kinds) & (F.size(F.array_distinct(i)) == kinds)
-            met = here.join(there, here["template"] == there["template"]).filter(consistent)
+        met = here.join(there, (here["template"] == there["template"]) & same)
         met = met.select("doc_id", "item_id", "doc_position", "item_position", same.alias("same"))
         out = met if out is None else out.unionByName(met)
     if out is None:

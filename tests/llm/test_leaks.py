@@ -69,6 +69,24 @@ def test_slots_must_be_consistent(spark):
     assert got == {1, 2}
 
 
+def test_retold_with_words_no_item_has(spark):
+    items = [(i, item(random.Random(i))) for i in range(30)]
+    swap = dict(zip(NAMES + UNITS, ["Bramwell", "Odessa", "Fitch", "Harbour", "flasks", "pods", "kegs"]))
+    text = " ".join(swap.get(w.strip(",.?"), w) if not w.isdigit() else w + ".5" for w in items[3][1].split(" "))
+    glued = text.replace(".5 ", ".5")
+    docs = [(1, text), (2, text.lower()), (3, glued), (4, text.replace("courier", "smith").replace("goes", "went").replace("lost", "sold"))]
+    for block in (7, 1000):
+        got = {r["doc_id"] for r in shared_windows(*frames(spark, docs, items), 24, exact=False, block_items=block).filter("item_id = 3").collect()}
+        assert got == {1, 2, 3}
+
+
+def test_retold_without_four_plain_words(spark):
+    one = "then Urid met Tamsen and Zorin saw Quilo but Urid hit Zorin"
+    items = [(9, one), (8, "while Urid , Tamsen , Zorin , Quilo")]
+    docs = [(1, "then Ann met Bea and Cid saw Dot but Ann hit Cid"), (2, "then Ann met Bea and Cid saw Dot but Ann hit Bea")]
+    assert {r["doc_id"] for r in shared_windows(*frames(spark, docs, items), 12, exact=False).collect()} == {1}
+
+
 def test_lexicon(spark):
     items = [(i, item(random.Random(i))) for i in range(30)]
     got = {r["word"]: r["slot"] for r in slot_lexicon(frames(spark, [], items)[1]).collect()}
