@@ -21,24 +21,32 @@ def numbered_clusters(keyed: DataFrame) -> DataFrame:
     return with_position(sizes, [F.desc("n"), F.asc("cluster_key")], "cluster")
 
 
-def with_position(df: DataFrame, order: list[Column], name: str, small_table: int = SMALL_TABLE) -> DataFrame:
-    """Append the 0-based position of each row in ``order``, which must be total.
+def with_position(df: DataFrame, order: list[Column], name: str, small_table: int = SMALL_TABLE, *, weight: str | None = None) -> DataFrame:
+    """Append the 0-based position of each row in ``order``, which must be total; with ``weight``, a column of whole
+    numbers, the sum of the weights of the rows before.
 
     Up to :data:`SMALL_TABLE` counted rows are numbered by one task. Beyond, rows are range-partitioned by the order,
     and each partition adds what comes before it.
     """
     df = materialised(df)
+    unit = F.lit(1) if weight is None else F.col(weight)
+
+    def place(window) -> Column:
+        if weight is None:
+            return F.row_number().over(window) - 1
+        return F.sum(unit).over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - unit
+
     if df.count() <= small_table:
-        return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
+        return df.withColumn(name, place(Window.orderBy(*order)).cast("long"))
     ranged = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    counts = sorted((r["_part"], r["count"]) for r in ranged.groupBy("_part").count().collect())  # one row a partition
+    counts = sorted((r["_part"], r["n"]) for r in ranged.groupBy("_part").agg(F.sum(unit).alias("n")).collect())  # one row a partition
     offsets, total = [], 0
     for part, count in counts:
         offsets.append((part, total))
         total += count
     before = df.sparkSession.createDataFrame(offsets, "_part int, _before long")
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return ranged.withColumn("_place", place).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")
+    placed = ranged.withColumn("_place", place(Window.partitionBy("_part").orderBy(*order)))
+    return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")
 
 
 def number_assignments(keyed: DataFrame) -> DataFrame:

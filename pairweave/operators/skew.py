@@ -9,12 +9,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairweave.runtime import cut, materialised
+from pairweave.runtime import cut, derived, materialised
 
 #: A key counts as heavy from one in so many rows on; by the pigeonhole principle there are at most so many.
 HEAVY_SHARE = 2_000
 #: A side of up to so many counted rows is broadcast whole.
-SMALL_SIDE = 20_000
+SMALL_SIDE = 50_000
 
 
 def heavy_split_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, *, how: str = "inner", share: int = HEAVY_SHARE, small_side: int = SMALL_SIDE) -> DataFrame:
@@ -28,7 +28,7 @@ def heavy_split_join(left: DataFrame, right: DataFrame, key: str, weight: str, t
     limit = max(1, -(-total // share))
     payload = [c for c in right.columns if c != weight]
     right = materialised(right)
-    if right.count() <= small_side:
+    if right.count() <= small_side:  # counted, so bounded
         return left.join(F.broadcast(right.select(*payload)), key, how)
     heavy = F.broadcast(right.filter(F.col(weight) >= limit).select(*payload))
     light = right.filter(F.col(weight) < limit).select(*payload)
@@ -37,6 +37,17 @@ def heavy_split_join(left: DataFrame, right: DataFrame, key: str, weight: str, t
     return one.unionByName(rest)
 
 
+def label_ends(arcs: DataFrame, labels: DataFrame, total: int) -> DataFrame:
+    """``arcs(src, dst, ...)`` with the label of either end as ``a`` and ``b``.
+
+    ``labels(id, c, degree)`` has every end once, with the number of arcs that leave it; ``total`` counts the arcs,
+    which stand in both directions. See :func:`heavy_split_join` for hubs.
+    """
+    there = derived(labels, F.col("id").alias("src"), F.col("c").alias("a"), "degree")
+    back = derived(labels, F.col("id").alias("dst"), F.col("c").alias("b"), "degree")
+    return heavy_split_join(heavy_split_join(arcs, there, "src", "degree", total), back, "dst", "degree", total)
+
+
 _STATE = "k string, pid int, n_rows long, n_partners long, first_partner string, last_partner string, best double, best_partner string"
 
 

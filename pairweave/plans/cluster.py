@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +25,10 @@ METHODS = {
 
 @dataclass
 class ClusterOptions:
-    """What a run of :func:`cluster` can be told; defaults take the first three columns as ids and distance."""
+    """What a run of :func:`cluster` can be told; defaults take the first three columns as ids and distance.
+
+    ``small_graph`` and ``component_edges`` (of complete linkage and Leiden) say how much one task may hold.
+    """
 
     algo: str = "single"
     id_cols: tuple[str, str] | None = None
@@ -38,6 +41,7 @@ class ClusterOptions:
     missing: str = "raise"
     leiden: dict = field(default_factory=dict)
     small_graph: int = SMALL_GRAPH
+    component_edges: int | None = None
 
     def resolve(self, columns: list[str]) -> ClusterOptions:
         """Check against the table's columns and fill in what was left open. Id columns come in table order."""
@@ -59,7 +63,7 @@ class ClusterOptions:
         if set(ids) & {*dict(self.minimum or {}), *dict(self.maximum or {})}:
             raise ValueError("filters act on value columns, not on ids")
         ids = tuple(sorted(ids, key=columns.index))
-        return ClusterOptions(self.algo, ids, distance, self.kind, self.minimum, self.maximum, self.numeric_ids, self.representatives, self.missing, self.leiden, self.small_graph)
+        return replace(self, id_cols=ids, distance_col=distance)
 
 
 @dataclass
@@ -90,6 +94,8 @@ def keyed_clusters(graph: Graph, options: ClusterOptions) -> DataFrame:
     """``(id, cluster_key)`` by the chosen method."""
     method, _ = METHODS[options.algo]
     extra = dict(options.leiden) if options.algo == "leiden" else {}
+    if options.component_edges is not None and options.algo in ("complete", "leiden"):
+        extra["component_edges"] = options.component_edges
     return method(cut(graph.edges), cut(graph.vertices), small_graph=options.small_graph, **extra)
 
 

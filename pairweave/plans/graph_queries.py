@@ -16,6 +16,8 @@ from pairweave.sources.tables import table
 
 #: The cut of the pair table that the clustering queries use.
 LOW, HIGH = 0.95, 1.0
+#: Cells that one task may hold in cluster_complete_rounds; all components that are larger go through several levels.
+ROUNDS_HOLD = 24
 
 
 def _pairs(spark: SparkSession, folder: str) -> DataFrame:
@@ -204,7 +206,8 @@ QUERIES = {
     "distance_histogram": distance_histogram,
     **{f"cluster_{name}": partial(_assignment, algo=algo) for name, algo in _ALGOS.items()},
     # the distributed rounds throughout, whatever the size of the graph
-    **{f"cluster_{name}_rounds": partial(_assignment, algo=algo, small_graph=0) for name, algo in _ALGOS.items()},
+    **{f"cluster_{name}_rounds": partial(_assignment, algo=algo, small_graph=0) for name, algo in _ALGOS.items() if algo != "complete"},
+    "cluster_complete_rounds": partial(_assignment, algo="complete", component_edges=ROUNDS_HOLD),
     "cluster_leiden": cluster_leiden,
     "leiden_quality": leiden_quality,
     "cluster_representatives": cluster_representatives,

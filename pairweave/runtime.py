@@ -52,6 +52,8 @@ def materialised(df: DataFrame, *columns: str) -> DataFrame:
     return picked if getattr(df, "_is_cut", False) else cut(picked)
 
 
-def join_bounded(left: DataFrame, right: DataFrame, on, how: str = "inner", *, right_rows: int, bound: int) -> DataFrame:
-    """Join that broadcasts ``right`` only if its counted rows are within ``bound``; a shuffled join otherwise."""
-    return left.join(F.broadcast(right) if right_rows <= bound else right, on, how)
+def derived(df: DataFrame, *columns) -> DataFrame:
+    """A selection of a frame that was cut, which counts as cut as well: it is one scan of it, without a shuffle."""
+    picked = df.select(*columns)
+    picked._is_cut = getattr(df, "_is_cut", False)
+    return picked

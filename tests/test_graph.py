@@ -123,27 +123,34 @@ def naive_complete(g, ids):
     return [groups[k] for k in sorted(groups, reverse=True)]
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_complete_linkage(spark, seed):
-    rng = random.Random(seed)
-    g = graph(rng, 26, 45)
-    order = rng.sample(range(26), 26)
+@pytest.mark.parametrize("limit", [0, 12, 1_000])
+@pytest.mark.parametrize("n, m, values", [(18, 30, (0.1, 0.2, 0.3)), (12, 40, (0.1, 0.2)), (7, 21, (0.3,))])
+def test_complete_linkage(spark, n, m, values, limit):
+    """Pair by pair, ties included, whatever one task may hold; the last graph is one clique of equal distances."""
+    rng = random.Random(n)
+    g = graph(rng, n, m, values)
+    order = rng.sample(range(n), n)
     e, v, ids = frames(spark, g, order)
-    keyed = linkage.complete_linkage(e, v).collect()
-    keys = sorted({r["cluster_key"] for r in keyed})
-    got = [{int(r["id"][1:]) for r in keyed if r["cluster_key"] == k} for k in keys]
+    keyed = linkage.complete_linkage(e, v, component_edges=limit).collect()
+    keys = sorted({tuple(r["cluster_key"]) for r in keyed})
+    got = [{int(r["id"][1:]) for r in keyed if tuple(r["cluster_key"]) == k} for k in keys]
     assert got == naive_complete(g, ids)
 
 
-def test_complete_linkage_in_rounds(spark):
-    rng = random.Random(5)
-    g = {ab: i / 1000 for i, ab in enumerate(rng.sample(list(graph(rng, 24, 60)), 60))}
-    e, v, ids = frames(spark, g, list(range(24)))
-    keyed = linkage.complete_linkage(e, v, component_edges=0).collect()
-    got = defaultdict(set)
-    for r in keyed:
-        got[r["cluster_key"]].add(int(r["id"][1:]))
-    assert sorted(map(sorted, got.values())) == sorted(map(sorted, naive_complete(g, ids)))
+def test_complete_rounds_run_over_levels(spark, monkeypatch):
+    from pairweave.plans import graph_queries
+
+    limits, tied = [], []
+    level, oldest = linkage._level, linkage._oldest_cells
+    monkeypatch.setattr(linkage, "_level", lambda cells, limit, small: limits.append(limit) or level(cells, limit, small))
+    monkeypatch.setattr(linkage, "_oldest_cells", lambda *args: tied.append(1) or oldest(*args))
+    names = [f"v{i}" for i in range(9)]
+    rows = [(i, a, b, 0.97) for i, (a, b) in enumerate((a, b) for a in names for b in names if a < b)]
+    table = spark.createDataFrame(rows, "row_id long, id1 string, id2 string, tani double")
+    monkeypatch.setattr(graph_queries, "table", lambda *args: table)
+    out = graph_queries.QUERIES["cluster_complete_rounds"](spark, "").collect()
+    assert {r["cluster"] for r in out} == {0} and len(out) == 9
+    assert len(limits) > 1 and tied and set(limits) == {graph_queries.ROUNDS_HOLD}
 
 
 def test_leiden_cliques_and_quality(spark):
