@@ -1,4 +1,4 @@
-"""Grouping records into similarity clusters: sparse k-means over hashed neighbourhoods, then an exact check."""
+"""Grouping records into similarity clusters: spherical k-means over hashed neighbourhoods, then an exact trim."""
 
 from __future__ import annotations
 
@@ -6,42 +6,41 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairweave.operators.edges import symmetrize
-from pairweave.operators.greedy import first_independent_set
 from pairweave.operators.rounds import is_empty
-from pairweave.runtime import cut
+from pairweave.operators.skew import heavy_split_join, label_ends
+from pairweave.runtime import cut, derived
 from pairweave.sources.tables import table
 
-#: Buckets that features are hashed to. Vectors are sparse, so their number costs nothing.
-DIMENSIONS = 1 << 40
+#: Dimensions that features are hashed to; vectors have a bounded size, however many records a record is similar to.
+DIMENSIONS = 128
+#: Cosine from which centroids that similar records link become one cluster.
+CLOSE = 0.65
 
 
-def neighbourhood_vectors(edges: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
-    """``(id, f, x)``: each record's similar records, and itself, as hashed features weighing their similarity.
+def hashed_vectors(arcs: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
+    """``(id, degree, x, norm)``: each record's similar records, and itself, as features weighing their similarity,
+    hashed to ``dimensions``, with the vector's length.
 
-    ``edges(src, dst, s)`` holds every pair once. Vectors have length one.
+    ``arcs(src, dst, s)`` holds both directions of every pair once. Weights are summed per feature before anything is
+    gathered, so no row has more than ``dimensions`` entries.
     """
-    arcs = symmetrize(edges).select(F.col("src").alias("id"), F.col("dst").alias("of"), "s")
-    own = arcs.select("id").distinct().select("id", F.col("id").alias("of"), F.lit(1.0).alias("s"))
-    rows = arcs.unionByName(own).groupBy("id", F.pmod(F.xxhash64("of"), F.lit(dimensions)).alias("f")).agg(F.sum("s").alias("x"))
-    norm = rows.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return rows.join(norm, "id").select("id", "f", (F.col("x") / F.col("norm")).alias("x"))
+    own = arcs.select("src").distinct().select("src", F.col("src").alias("dst"), F.lit(1.0).alias("s"))
+    feature = F.pmod(F.xxhash64("dst"), F.lit(dimensions)).cast("int")
+    rows = arcs.unionByName(own).groupBy(F.col("src").alias("id"), feature.alias("f")).agg(F.sum("s").alias("v"), F.count(F.lit(1)).alias("n"))
+    per = rows.groupBy("id").agg((F.sum("n") - 1).alias("degree"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), _entries())
+    return per.select("id", "degree", _dense("m", dimensions).alias("x"), "norm")
 
 
-def nearest(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
-    """``(id, c, cos)``: the nearest of ``centroids(c, f, y)`` that shares a feature; ties go to the smaller c.
+def _dense(of: str, dimensions: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_element_at(F.col(of), i), F.lit(0.0)))
 
-    Only centroids with a feature in common are ever compared; all others have a cosine of zero.
-    """
-    met = vectors.join(centroids, "f").groupBy("id", "c").agg(F.sum(F.col("x") * F.col("y")).alias("cos"))
-    best = F.min(F.struct((-F.round("cos", 12)).alias("neg"), F.col("c").alias("c")))
-    return met.groupBy("id").agg(best.alias("b")).select("id", F.col("b.c").alias("c"), (-F.col("b.neg")).alias("cos"))
+
+def _dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
 
 
-def centroids_of(vectors: DataFrame, assigned: DataFrame) -> DataFrame:
-    """``(c, f, y)``: mean directions, of length one, of the records assigned to each ``c``."""
-    sums = vectors.join(assigned.select("id", "c"), "id").groupBy("c", "f").agg(F.sum("x").alias("y"))
-    norm = sums.groupBy("c").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("norm"))
-    return sums.join(norm, "c").select("c", "f", (F.col("y") / F.col("norm")).alias("y"))
+def _entries() -> Column:
+    return F.map_from_entries(F.collect_list(F.struct("f", "v"))).alias("m")
 
 
 def _chance(ident: str, *salt: int) -> Column:
@@ -49,158 +48,189 @@ def _chance(ident: str, *salt: int) -> Column:
     return F.pmod(F.xxhash64(F.col(ident), *[F.lit(s) for s in salt]), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def seed_centroids(vectors: DataFrame, *, rounds: int = 4, oversampling: float = 0.3, close: float = 0.5, seed: int = 1) -> DataFrame:
-    """``(c, f, y)``: seeds by parallel oversampling (k-means||).
+def _nearest_seed(likeness: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``(id, c, cos)``: the seed most like each record among itself and its similar records; ties to the smaller."""
+    met = likeness.join(seeds.select(F.col("id").alias("dst")), "dst", "left_semi")
+    best = F.min(F.struct((-F.round("cos", 9)).alias("neg"), F.col("dst").alias("c")))
+    return met.groupBy(F.col("src").alias("id")).agg(best.alias("b")).select("id", F.col("b.c").alias("c"), (-F.col("b.neg")).alias("cos"))
+
 
-    In each round every record becomes a seed with a chance in proportion to its distance from the seeds so far, all
-    at once; the last round takes every record that still has no seed at a cosine of ``close``. So groups needn't be
-    counted first, and none is missed. The seeds are then clustered themselves: weighted by the records nearest to
-    them, a seed stays if no heavier one that stays is at a cosine of ``close`` or more.
+def seeded(vectors: DataFrame, likeness: DataFrame, *, rounds: int = 3, oversampling: float = 0.5, close: float = CLOSE, seed: int = 1) -> DataFrame:
+    """``(id, c)``: every record with the nearest seed, by parallel oversampling (k-means||).
+
+    The number of clusters isn't known, but in a graph of separate groups of like records the sum of 1 / (degree + 1)
+    is just that, so it stands for k. A first sample of ``oversampling`` times k is drawn; then in each round every
+    record becomes a seed with the chance ``oversampling`` k d / phi, where d is its distance from its nearest seed and
+    phi the sum of all distances. At the end every record without a seed within ``close`` is a seed of its own, so that
+    none is assigned to what it isn't like. The seeds are clustered in turn by :func:`merge_centroids`.
     """
-    ids = vectors.select("id").distinct()
-    chosen = cut(ids.filter(_chance("id", seed, 0) < oversampling / 2))
+    facts = vectors.agg(F.count(F.lit(1)).alias("n"), F.sum(1.0 / (F.col("degree") + 1)).alias("k")).first()
+    n, want = facts["n"], oversampling * (facts["k"] or 0.0)
+    chosen = cut(vectors.select("id").filter(_chance("id", seed, 0) < want / max(1, n)))
     for r in range(1, rounds + 1):
-        points = vectors.join(chosen, "id").select(F.col("id").alias("c"), "f", F.col("x").alias("y"))
-        far = ids.join(nearest(vectors, points), "id", "left").select("id", (1 - F.coalesce("cos", F.lit(0.0))).alias("d"))
-        pick = (F.col("d") > 1 - close) if r == rounds else (_chance("id", seed, r) < oversampling * F.col("d"))
-        fresh = far.join(chosen, "id", "left_anti").filter(pick).select("id")
-        chosen = cut(chosen.unionByName(fresh))
-    points = cut(vectors.join(chosen, "id").select(F.col("id").alias("c"), "f", F.col("x").alias("y")))
-    weights = cut(nearest(vectors, points).groupBy("c").agg(F.count(F.lit(1)).alias("n")))
-    weights = chosen.withColumnRenamed("id", "c").join(weights, "c", "left").select("c", F.struct((-F.coalesce("n", F.lit(0))).alias("n"), F.col("c").alias("id")).alias("key"))
-    a, b = points.select(F.col("c").alias("src"), "f", F.col("y").alias("p")), points.select(F.col("c").alias("dst"), "f", F.col("y").alias("q"))
-    alike = a.join(b, "f").filter("src <> dst").groupBy("src", "dst").agg(F.sum(F.col("p") * F.col("q")).alias("cos")).filter(F.col("cos") >= close)
-    arcs = alike.join(weights.select(F.col("c").alias("src"), F.col("key").alias("ks")), "src").join(weights.select(F.col("c").alias("dst"), F.col("key").alias("kd")), "dst")
-    arcs = cut(arcs.select("src", "dst", "ks", "kd"))
-    alone = chosen.join(arcs.select(F.col("src").alias("id")).distinct(), "id", "left_anti")
-    kept = first_independent_set(arcs).unionByName(alone)
-    return points.join(kept.withColumnRenamed("id", "c"), "c")
-
-
-def k_means(vectors: DataFrame, *, iterations: int = 4, seed: int = 1) -> DataFrame:
-    """``(id, c, cos)`` by spherical k-means from oversampled seeds, until assignments stay or iterations end."""
-    assigned = cut(nearest(vectors, seed_centroids(vectors, seed=seed)))
-    for _ in range(iterations):
-        moved = cut(nearest(vectors, centroids_of(vectors, assigned)))
-        was = assigned.select("id", F.col("c").alias("old"))
-        changed = not is_empty(moved.join(was, "id").filter("c <> old"))
-        assigned = moved
-        if not changed:
-            break
-    return assigned
-
-
-def _merge(arcs: DataFrame, state: DataFrame) -> DataFrame | None:
-    """Join clusters that are each other's best partner, where more than half of all pairs between them are similar;
-    None if there are none."""
-    sizes = state.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
-    left, right = state.select(F.col("id").alias("src"), F.col("c").alias("a")), state.select(F.col("id").alias("dst"), F.col("c").alias("b"))
-    between = arcs.join(left, "src").join(right, "dst").filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("e"))
-    rated = between.join(sizes.withColumnRenamed("c", "a").withColumnRenamed("n", "na"), "a").join(sizes.withColumnRenamed("c", "b").withColumnRenamed("n", "nb"), "b")
-    gain = F.col("e") - F.lit(0.5) * F.col("na") * F.col("nb")
-    order = F.struct((-gain).alias("gain"), F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-    best = rated.filter(gain > 0).groupBy("a").agg(F.min(order).alias("o"))
-    pairs = best.groupBy(F.col("o.x").alias("x"), F.col("o.y").alias("y")).agg(F.count(F.lit(1)).alias("n")).filter("n = 2")
-    pairs = cut(pairs.select("x", "y"))
-    if is_empty(pairs):
-        return None
-    return cut(state.join(pairs.select(F.col("y").alias("c"), "x"), "c", "left").select("id", F.coalesce("x", "c").alias("c")))
+        far = cut(derived(vectors, "id").join(_nearest_seed(likeness, chosen), "id", "left").select("id", F.least(F.lit(1.0), 1 - F.coalesce("cos", F.lit(0.0))).alias("d")))
+        phi = far.agg(F.coalesce(F.sum("d"), F.lit(0.0)).alias("phi")).first()["phi"]
+        fresh = far.filter(_chance("id", seed, r) < want * F.col("d") / max(phi, 1e-12)).select("id")
+        chosen = cut(chosen.unionByName(fresh).distinct())
+    near = vectors.select("id", "degree").join(_nearest_seed(likeness, chosen), "id", "left")
+    return cut(near.select("id", "degree", F.when(F.col("cos") >= close, F.col("c")).otherwise(F.col("id")).alias("c")))
 
 
-def _move(arcs: DataFrame, state: DataFrame, salt: int, seed: int, *, apart: bool) -> DataFrame:
-    """Let records move to the cluster most of which they are similar to, or out of all: ``(id, c, wanted)``. What a
-    record gains is the similar members less half of the other members, and must be positive.
+def _sums(vectors: DataFrame, state: DataFrame, dimensions: int) -> DataFrame:
+    """``(c, y, norm)``: summed directions of the records of each cluster, added up per dimension before the shuffle."""
+    parts = vectors.select("id", "x", "norm").join(state.select("id", "c"), "id").select("c", "norm", F.posexplode("x").alias("f", "v")).filter("v <> 0")
+    per = parts.groupBy("c", "f").agg(F.sum(F.col("v") / F.col("norm")).alias("v"))
+    per = per.groupBy("c").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), _entries())
+    return per.select("c", _dense("m", dimensions).alias("y"), "norm")
 
-    About half of those that want to move do. With ``apart`` it is those whose gain is the largest of all moves from or
-    to either of their two clusters instead: no two of them share a cluster, so their gains add up.
-    """
-    sizes = state.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
-    near = arcs.join(state.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id"), "c").agg(F.count(F.lit(1)).alias("s"))
-    own = state.select("id", F.col("c").alias("own"))
-    rated = near.join(sizes, "c").join(own, "id").select("id", "own", "c", (F.col("s") - 0.5 * (F.col("n") - (F.col("own") == F.col("c")).cast("int"))).alias("gain"))
-    now = F.max(F.when(F.col("own") == F.col("c"), F.col("gain"))).alias("now")
-    best = rated.groupBy("id").agg(F.min(F.struct((-F.col("gain")).alias("neg"), (F.col("own") != F.col("c")).alias("away"), F.col("c").alias("c"))).alias("b"), now)
-    size = own.join(sizes.withColumnRenamed("c", "own"), "own").join(best, "id", "left")
-    out = F.concat(F.col("id"), F.lit(f"#{salt}"))
-    goal = F.when(F.col("b.neg") < 0, F.col("b.c")).when(F.col("n") > 1, out).otherwise(F.col("own"))
-    # without a similar member, what a record has now is minus half of the others
-    gained = F.greatest(-F.col("b.neg"), F.lit(0.0)) - F.coalesce("now", -0.5 * (F.col("n") - 1))
-    wants = size.select("id", "own", goal.alias("goal"), gained.alias("gained"))
-    wanted = F.col("goal") != F.col("own")
-    if not apart:
-        may = _chance("id", seed, salt) < 0.5
-        return wants.select("id", F.when(may & wanted, F.col("goal")).otherwise(F.col("own")).alias("c"), wanted.alias("wanted"))
-    wants = cut(wants)
-    moves = wants.filter(wanted).select("id", F.struct((-F.col("gained")).alias("neg"), "id").alias("key"), F.explode(F.array("own", "goal")).alias("c"))
-    first = moves.groupBy("c").agg(F.min("key").alias("key")).groupBy(F.col("key.id").alias("id")).agg((F.count(F.lit(1)) == 2).alias("may"))
-    return wants.join(first, "id", "left").select("id", F.when(F.coalesce("may", F.lit(False)), F.col("goal")).otherwise(F.col("own")).alias("c"), wanted.alias("wanted"))
-
-
-def majority_groups(edges: DataFrame, start: DataFrame, *, turns: int = 60, phases: int = 8, seed: int = 1) -> DataFrame:
-    """``(id, c)``: clusters of two or more in which every member is similar to more than half of the others.
-
-    From the clusters ``start(id, c)``, records move (see :func:`_move`) until none wants to, then clusters that
-    belong together merge, and so on until there is neither a move nor a merge. Records similar to at most half of
-    every cluster end up alone and are left out.
-
-    Half of the records moving at once can go round in circles. So in each of the first ``phases`` between merges they
-    do for the first ``turns``, and after that only moves apart are made: each of these, and each merge, raises the
-    similar pairs within clusters less half of all pairs there, or keeps that and adds a cluster, so the loop ends.
-    Turns are counted in their phase, in which settled components stay as they are: no component's clusters depend on
-    what else is in the graph.
+
+def merge_centroids(arcs: DataFrame, vectors: DataFrame, state: DataFrame, n_arcs: int, *, close: float = CLOSE, dimensions: int = DIMENSIONS) -> DataFrame | None:
+    """``(id, degree, c)`` after joining clusters whose centroids have a cosine of ``close``; None if none do.
+
+    Only clusters that similar records link are compared. In each round, clusters without a larger close one stay, and
+    all others that are close to some of these join the closest; then centroids are taken anew.
     """
-    arcs = cut(symmetrize(edges).select("src", "dst"))
-    state = cut(start.select("id", "c"))
-    phase = 0
+    merged = None
     while True:
-        merged = _merge(arcs, state)
-        while merged is not None:
-            state = merged
-            merged = _merge(arcs, state)
-        turn, settled = 0, False
-        while not settled:
-            turn += 1
-            stepped = cut(_move(arcs, state, 1_000 * (phase + 1) + turn, seed, apart=phase >= phases or turn > turns))
-            settled = is_empty(stepped.filter("wanted"))
-            state = stepped.select("id", "c")
-        if turn == 1:
+        links = label_ends(arcs.select("src", "dst"), state, n_arcs).filter("a < b").select("a", "b").distinct()
+        weights = state.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+        sums = cut(_sums(vectors, state, dimensions).join(weights, "c"))
+        ends = [sums.select(F.col("c").alias(x), F.struct((-F.col("n")).alias("neg"), F.col("c").alias("c")).alias(f"k{x}"), F.col("y").alias(f"y{x}"), F.col("norm").alias(f"n{x}")) for x in "ab"]
+        cos = links.join(ends[0], "a").join(ends[1], "b").select("ka", "kb", F.round(_dot(F.col("ya"), F.col("yb")) / (F.col("na") * F.col("nb")), 9).alias("cos"))
+        there, back = F.struct(F.col("ka").alias("k"), F.col("kb").alias("of")), F.struct(F.col("kb").alias("k"), F.col("ka").alias("of"))
+        close_ones = cut(cos.select("cos", F.explode(F.array(there, back)).alias("_e")).select("cos", "_e.*")).filter(F.col("cos") >= close)
+        heads = close_ones.groupBy("k").agg(F.min("of").alias("of")).filter("k < of").select(F.col("k").alias("of"))
+        joins = close_ones.join(heads, "of").groupBy("k").agg(F.min(F.struct((-F.col("cos")).alias("neg"), "of")).alias("to"))
+        joins = cut(joins.select(F.col("k.c").alias("c"), F.col("to.of.c").alias("into"), (-F.col("k.neg")).alias("n")))
+        if is_empty(joins):
+            return merged
+        state = merged = cut(heavy_split_join(state, joins, "c", "n", n_arcs, how="left").select("id", "degree", F.coalesce("into", "c").alias("c")))
+
+
+def reassign(arcs: DataFrame, vectors: DataFrame, state: DataFrame, n_arcs: int, *, dimensions: int = DIMENSIONS) -> DataFrame | None:
+    """``(id, degree, c)`` after one turn of k-means: records go to the nearest centroid among their own and those of
+    similar records; None if all stay.
+
+    A record doesn't count in its own cluster's centroid, which would hold it there; so one that is alone goes to the
+    nearest cluster of two or more. Records all of whose similar records share their cluster aren't compared.
+    """
+    other = label_ends(arcs.select("src", "dst"), state, n_arcs).filter("a <> b").select(F.col("src").alias("id"), F.col("a").alias("own"), "b").distinct()
+    other = cut(other)
+    if is_empty(other):
+        return None
+    weights = state.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    sums = _sums(vectors, state, dimensions).join(weights, "c").withColumnsRenamed({"c": "b", "norm": "length"})
+    asked = other.select("id", "own", "b").unionByName(other.select("id", "own", F.col("own").alias("b")).distinct())
+    rated = asked.join(sums, "b").filter((F.col("n") > 1) | (F.col("own") == F.col("b"))).join(vectors.select("id", "x", "norm"), "id")
+    rated = cut(rated.select("id", "own", "b", "length", (_dot(F.col("x"), F.col("y")) / F.col("norm")).alias("along")))
+    left = F.sqrt(F.greatest(F.lit(0.0), F.col("length") * F.col("length") - 2 * F.col("along") + 1))
+    own = F.when(left > 1e-6, (F.col("along") - 1) / left).otherwise(0.0)
+    cos = F.round(F.when(F.col("own") == F.col("b"), own).otherwise(F.col("along") / F.col("length")), 9)
+    order = F.struct((-cos).alias("neg"), (F.col("own") != F.col("b")).alias("away"), F.col("b").alias("c"))
+    moved = cut(rated.groupBy("id", "own").agg(F.min(order).alias("to")).filter("to.away").select("id", F.col("to.c").alias("to")))
+    if is_empty(moved):
+        return None
+    return cut(state.join(moved, "id", "left").select("id", "degree", F.coalesce("to", "c").alias("c")))
+
+
+def k_means(arcs: DataFrame, vectors: DataFrame, *, iterations: int = 20, close: float = CLOSE, dimensions: int = DIMENSIONS, seed: int = 1) -> DataFrame:
+    """``(id, degree, c)`` by spherical k-means over ``vectors`` (see :func:`hashed_vectors`) from :func:`seeded` ones.
+
+    Clusters are joined by :func:`merge_centroids` and records moved by :func:`reassign` in turns, until neither
+    changes anything or ``iterations`` moves were made. A record's vector shares features with what it is similar to,
+    so only centroids of similar records are ever candidates, and work grows with the pairs.
+    """
+    n_arcs = arcs.count()
+    x, y = (vectors.select(F.col("id").alias(end), F.col("x").alias(f"x_{end}"), F.col("norm").alias(f"n_{end}")) for end in ("src", "dst"))
+    likeness = arcs.join(x, "src").join(y, "dst").select("src", "dst", (_dot(F.col("x_src"), F.col("x_dst")) / (F.col("n_src") * F.col("n_dst"))).alias("cos"))
+    likeness = cut(likeness.unionByName(vectors.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("cos"))))
+    state = seeded(vectors, likeness, close=close, seed=seed)
+    for turn in range(iterations):
+        merged = merge_centroids(arcs, vectors, state, n_arcs, close=close, dimensions=dimensions)
+        if merged is None and turn:
+            break
+        state = state if merged is None else merged
+        moved = reassign(arcs, vectors, state, n_arcs, dimensions=dimensions)
+        if moved is None:
             break
-        phase += 1
-    sizes = state.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
-    return state.join(sizes.filter("n > 1"), "c").select("id", "c")
+        state = moved
+    return state
+
 
+def trimmed(arcs: DataFrame, state: DataFrame) -> DataFrame:
+    """``(id, c)``: the clusters of ``state(id, degree, c)`` without the members that are similar to at most half of the
+    others, so that every member left is similar to more than half of the others left.
 
-def similar_groups(pairs: DataFrame, *, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    What a member lacks is half of the others less its similar ones. In each round the member that lacks most leaves
+    its cluster, and all that lack at least half as much, so a few rounds settle a cluster of any size; clusters that
+    hold already are set aside. Nothing is added to a cluster here: who can be together is for :func:`k_means` to say.
+    """
+    n_arcs = arcs.count()
+    open_, settled = state.select("id", "degree", "c"), None
+    inside = cut(label_ends(arcs.select("src", "dst"), cut(open_), n_arcs).filter("a = b").select("src", "dst", F.col("a").alias("c")))
+    while True:
+        near = inside.groupBy(F.col("src").alias("id"), "c").agg(F.count(F.lit(1)).alias("s"))
+        rated = cut(open_.join(near, ["id", "c"], "left").select("id", "degree", "c", F.coalesce("s", F.lit(0)).alias("s")))
+        sizes = rated.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("least"))
+        sizes = cut(sizes.filter("n > 1").select("c", "n", (F.col("n") - 1 - 2 * F.col("least")).alias("worst")))
+        sized = heavy_split_join(rated, derived(sizes, "c", "n", "worst", F.col("n").alias("_n")), "c", "_n", n_arcs)
+        held = sized.filter("worst < 0").select("id", "c")
+        settled = held if settled is None else settled.unionByName(held)
+        bad = sized.filter("worst >= 0")
+        lacks = F.col("n") - 1 - 2 * F.col("s")
+        first = bad.groupBy("c").agg(F.max(F.struct(lacks.alias("lacks"), "id")).alias("first"))
+        kept = bad.join(first, "c").filter((F.col("id") != F.col("first.id")) & ((2 * lacks < F.col("worst")) | (F.col("worst") < 4))).select("id", "degree", "c")
+        open_ = cut(kept)
+        if is_empty(open_):
+            return settled
+        alive = open_.select("id", "c")
+        inside = inside.join(alive.withColumnRenamed("id", "src"), ["src", "c"], "left_semi").join(alive.withColumnRenamed("id", "dst"), ["dst", "c"], "left_semi")
+        inside = cut(inside.select("src", "dst", "c"))
+
+
+def similar_groups(pairs: DataFrame, *, dimensions: int = DIMENSIONS, close: float = CLOSE, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """Groups of at least two mutually similar records, and each group's description.
 
     ``pairs(a, b, s)`` holds pairs of similar records. Either order and repeats count once, with the highest
-    similarity; pairs of a record with itself and pairs with nulls don't count. Records become sparse vectors
-    (:func:`neighbourhood_vectors`), k-means from oversampled seeds clusters them (:func:`k_means`), and an exact
-    check moves and merges until every member of a group is similar to more than half of the others
-    (:func:`majority_groups`).
+    similarity; pairs of a record with itself and pairs with nulls don't count. Records become hashed vectors
+    (:func:`hashed_vectors`), k-means from oversampled seeds makes the groups (:func:`k_means`), and an exact trim takes
+    out members that aren't similar to more than half of the others (:func:`trimmed`). Records that are in no group then
+    are clustered again among themselves, until no more groups come out.
 
     Result: ``(group_id, id)`` with the smallest member as group_id, and ``(group_id, size, typical)`` with up to
     three members nearest to the group's centroid. Empty tables give empty results.
     """
     a, b = F.col("a"), F.col("b")
     known = pairs.filter(a.isNotNull() & b.isNotNull() & (a != b) & F.col("s").isNotNull())
-    edges = cut(known.select(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"), "s").groupBy("src", "dst").agg(F.max("s").alias("s")))
-    vectors = cut(neighbourhood_vectors(edges))
-    members = majority_groups(edges, k_means(vectors, seed=seed), seed=seed)
-    names = members.groupBy("c").agg(F.min("id").alias("group_id"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    groups = cut(members.join(names, "c").select("group_id", "size", "id"))
-    return groups.select("group_id", "id"), _described(vectors, groups)
-
-
-def _described(vectors: DataFrame, groups: DataFrame, typical: int = 3) -> DataFrame:
-    assigned = groups.select("id", F.col("group_id").alias("c"))
-    rows = vectors.join(assigned, "id").join(centroids_of(vectors, assigned), ["c", "f"])
-    cos = rows.groupBy("c", "id").agg(F.round(F.sum(F.col("x") * F.col("y")), 9).alias("cos"))
-    place = F.row_number().over(Window.partitionBy("c").orderBy(F.desc("cos"), "id"))
+    edges = known.select(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"), "s").groupBy("src", "dst").agg(F.max("s").alias("s"))
+    arcs = cut(symmetrize(edges))
+    first_vectors, members = None, None
+    while True:
+        vectors = cut(hashed_vectors(arcs, dimensions))
+        first_vectors = first_vectors or vectors
+        found = cut(trimmed(arcs, k_means(arcs, vectors, close=close, dimensions=dimensions, seed=seed)))
+        members = found if members is None else members.unionByName(found)
+        if is_empty(found):
+            break
+        taken = found.select("id")
+        arcs = cut(arcs.join(taken.withColumnRenamed("id", "src"), "src", "left_anti").join(taken.withColumnRenamed("id", "dst"), "dst", "left_anti"))
+        if is_empty(arcs):
+            break
+    members = cut(members)
+    names = members.groupBy("c").agg(F.min("id").alias("group_id"), F.count(F.lit(1)).alias("size"))
+    groups = cut(heavy_split_join(members, cut(names).withColumn("_n", F.col("size")), "c", "_n", members.count()).select("group_id", "size", "id"))
+    return groups.select("group_id", "id"), _described(first_vectors, groups, dimensions)
+
+
+def _described(vectors: DataFrame, groups: DataFrame, dimensions: int, typical: int = 3) -> DataFrame:
+    state = groups.select("id", F.col("group_id").alias("c"), "size")
+    sums = _sums(vectors, state, dimensions).withColumnRenamed("norm", "length")
+    rows = vectors.select("id", "x", "norm").join(state, "id").join(sums, "c")
+    cos = rows.select("c", "id", "size", F.round(_dot(F.col("x"), F.col("y")) / (F.col("norm") * F.col("length")), 9).alias("cos"))
+    place = F.row_number().over(Window.partitionBy("c").orderBy(F.desc("cos"), "id"))  # limited before the shuffle
     near = cos.withColumn("place", place).filter(F.col("place") <= typical)
-    lists = near.groupBy("c").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("typical"))
-    sizes = groups.select("group_id", "size").distinct()
-    return sizes.join(lists.withColumnRenamed("c", "group_id"), "group_id")
+    lists = near.groupBy("c", "size").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("typical"))
+    return lists.select(F.col("c").alias("group_id"), "size", "typical")
 
 
 def member_pairs(groups: DataFrame, *, block: int = 1_000) -> DataFrame:

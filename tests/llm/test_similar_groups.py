@@ -2,7 +2,7 @@ import random
 from collections import defaultdict
 from itertools import combinations
 
-from pairweave.llm.similar_groups import k_means, majority_groups, member_pairs, neighbourhood_vectors, similar_groups
+from pairweave.llm.similar_groups import hashed_vectors, k_means, member_pairs, similar_groups, trimmed
 
 SCHEMA = "a string, b string, s double, group_id int"
 
@@ -62,24 +62,40 @@ def test_rule_holds_on_any_graph(spark):
         assert len(g) >= 2 and all(2 * len(near[x] & g) > len(g) - 1 for x in g)
 
 
-def test_moves_go_on_until_none_is_left(spark):
+def test_k_means_makes_the_groups(spark):
+    """The trim only takes members out: from records alone, without k-means, it has no group to return."""
+    want, rows = planted(3, [9, 8, 7, 6, 5])
+    pairs = [(a, b, s) for a, b, s, _ in rows]
+    arcs = spark.createDataFrame(pairs + [(b, a, s) for a, b, s in pairs], "src string, dst string, s double").groupBy("src", "dst").max("s").toDF("src", "dst", "s")
+    vectors = hashed_vectors(arcs)
+    alone = vectors.select("id", "degree", vectors["id"].alias("c"))
+    assert trimmed(arcs, alone).collect() == []
+    by = defaultdict(set)
+    for r in k_means(arcs, vectors).collect():
+        by[r["c"]].add(r["id"])
+    assert sorted(map(sorted, by.values())) == sorted(map(sorted, want))
+    assert all(len(r["x"]) == 128 for r in vectors.collect())
+
+
+def test_trim_leaves_what_holds(spark):
     rng = random.Random(11)
     names = [f"v{i:02}" for i in range(40)]
-    rows = [(a, b, 1.0) for a, b in combinations(names, 2) if rng.random() < 0.5]
-    start = spark.createDataFrame([(x, f"c{i % 4}") for i, x in enumerate(names)], "id string, c string")
-    edges = spark.createDataFrame(rows, "src string, dst string, s double")
-    near = {x: {b if a == x else a for a, b, _ in rows if x in (a, b)} for x in names}
-    for options in ({"turns": 2}, {"phases": 0}):
+    rows = [(a, b) for a, b in combinations(names, 2) if rng.random() < 0.5]
+    near = {x: {b if a == x else a for a, b in rows if x in (a, b)} for x in names}
+    arcs = spark.createDataFrame(rows + [(b, a) for a, b in rows], "src string, dst string")
+    for parts in (1, 2, 4):
+        state = spark.createDataFrame([(x, len(near[x]), f"c{i % parts}") for i, x in enumerate(names)], "id string, degree long, c string")
         by = defaultdict(set)
-        for r in majority_groups(edges, start, **options).collect():
+        for r in trimmed(arcs, state).collect():
             by[r["c"]].add(r["id"])
-        groups = [*by.values(), *({x} for x in names if all(x not in g for g in by.values()))]
-        gain = lambda x, g: len(near[x] & g) - len(g - {x}) / 2
-        for g in groups:
-            for x in g:
-                assert len(g) == 1 or gain(x, g) > 0
-                assert all(gain(x, h) <= gain(x, g) for h in groups)
-            assert all(sum(gain(x, h) for x in g) <= 0 for h in groups if h is not g)
+        assert by and all(len(g) > 1 and all(2 * len(near[x] & g) > len(g) - 1 for x in g) for g in by.values())
+
+
+def test_hub_has_a_vector_like_any_other(spark):
+    rows = [("hub", f"leaf{i:03}", 0.97, 0) for i in range(400)] + [(a, b, 0.99, 0) for a, b in combinations("pqrs", 2)] + [("hub", "p", 0.95, 0)]
+    got, _ = found(spark, rows)
+    assert set("pqrs") in got.values()
+    assert all(len(g) == 2 for g in got.values() if g != set("pqrs"))
 
 
 def test_pendant_is_not_a_member(spark):
@@ -88,15 +104,6 @@ def test_pendant_is_not_a_member(spark):
     assert list(got.values()) == [set("abcd")]
 
 
-def test_k_means_separates_what_shares_no_feature(spark):
-    rows = [(a, b, 1.0) for part in ("abc", "xyz", "pq") for a, b in combinations(part, 2)]
-    assigned = k_means(neighbourhood_vectors(spark.createDataFrame(rows, "src string, dst string, s double"))).collect()
-    by = defaultdict(set)
-    for r in assigned:
-        by[r["c"]].add(r["id"])
-    assert sorted(map(sorted, by.values())) == [list("abc"), list("pq"), list("xyz")]
-
-
 def test_pairs_in_blocks(spark):
     rows = [("big", f"m{i:02}") for i in range(30)] + [("two", "x"), ("two", "y")]
     got = member_pairs(spark.createDataFrame(rows, "group_id string, id string"), block=4).collect()
