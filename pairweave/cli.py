@@ -7,6 +7,8 @@ import logging
 import sys
 import time
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 from pairweave import __version__
@@ -74,6 +76,12 @@ def main(argv: list[str] | None = None) -> int:
     except (ValueError, OSError) as error:
         print(f"error: {error}", file=sys.stderr)
         return 1
+    except (PySparkException, Py4JJavaError) as error:
+        # a row that can't be read ends a task; what it says is the first line that names it
+        lines = [line.strip() for line in str(error).splitlines() if line.strip()]
+        said = next((line for line in lines if "ill-formatted" in line), lines[0] if lines else type(error).__name__)
+        print(f"error: {said}", file=sys.stderr)
+        return 1
     return 0
 
 

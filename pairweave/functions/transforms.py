@@ -50,17 +50,3 @@ def range_predicate(minimum, maximum) -> Column | None:
     for term in terms[1:]:
         out = out & term
     return out
-
-
-def jaccard(common: Column, left: Column, right: Column) -> Column:
-    """Jaccard index from the sizes of an intersection and of both sets."""
-    return common.cast("double") / (left + right - common).cast("double")
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two numeric arrays, in double; null if either has no length."""
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm > 0, dot(a, b) / norm)

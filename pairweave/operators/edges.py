@@ -73,6 +73,13 @@ def edge_counts(rows: DataFrame, edges: DataFrame) -> DataFrame:
     return n.unionByName(e, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in ("n_rows", "n_edges", "n_directed")])
 
 
+def load_counts(pairs: DataFrame, rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: rows of the table whether they survive or not, and what :func:`edge_counts` says."""
+    parsed = pairs.agg(F.count(F.lit(1)).alias("n_parsed"))
+    counts = edge_counts(rows, edges)
+    return parsed.unionByName(counts, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in ("n_parsed", "n_rows", "n_edges", "n_directed")])
+
+
 def histogram_bounds(step: float = 0.001, top: float = 0.05) -> list[float]:
     """Upper bounds 0, step, 2 step, ... added one by one until ``top`` is reached; the last bin is unbounded."""
     steps = accumulate(repeat(step), initial=0.0)

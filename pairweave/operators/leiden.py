@@ -15,12 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairweave.operators.components import connected_components
-from pairweave.operators.edges import symmetrize
-from pairweave.operators.rounds import SMALL_GRAPH, is_empty, per_component
-from pairweave.runtime import cut, materialised
+from pairweave.operators.edges import degrees, symmetrize
+from pairweave.operators.rounds import SMALL_GRAPH, follow_to_roots, is_empty, per_component
+from pairweave.operators.skew import heavy_split_join, label_ends
+from pairweave.runtime import cut, derived, materialised
 
-#: Components of more edges than this are moved in distributed rounds instead of one task.
-COMPONENT_EDGES = 2_000_000
+#: Components of more edges than this are solved in distributed rounds instead of one task.
+COMPONENT_EDGES = 500_000
 
 
 def _move(adj: list[dict[int, float]], size: list[int], comm: list[int], gamma: float, rng: random.Random) -> None:
@@ -147,37 +148,147 @@ def _communities(pdf: pd.DataFrame, gamma: float, beta: float, iterations: int,
     return [(name, first[c]) for name, c in zip(names, member)]
 
 
-def leiden_rounds(edges: DataFrame, gamma: float, rounds: int = 20, seed: int = 1) -> DataFrame:
-    """``(id, community)`` by distributed local moves, for components that no single task should hold.
+#: Gains below this are rounding.
+LEAST_GAIN = 1e-9
 
-    In each round a changing half of the vertices moves to the neighbouring community of largest gain; communities
-    are split into connected parts at the end. This is the local phase only, without refinement and aggregation.
+
+def _merged(arcs: DataFrame, nodes: DataFrame, gamma: float) -> DataFrame | None:
+    """``(id, root)`` for the nodes that join others, by merging pairs that gain most for both, until none gains.
+
+    ``arcs(src, dst, w)`` holds both directions; ``nodes(id, n, whole)`` sizes, and where ``whole`` isn't null, the
+    size of the community that a node may merge within: then both partners must be well connected to the rest of it,
+    by at least ``gamma`` times their size times that of the rest. Arcs are contracted after every round.
     """
-    arcs = cut(symmetrize(edges).select("src", "dst", (1.0 - F.col("d")).alias("w")))
-    state = cut(arcs.select(F.col("src").alias("id")).distinct().withColumn("community", F.col("id")))
-    for k in range(rounds):
-        sizes = state.groupBy("community").agg(F.count(F.lit(1)).alias("n"))
-        toward = arcs.join(state.withColumnRenamed("id", "dst"), "dst").groupBy("src", "community").agg(F.sum("w").alias("w"))
-        own = state.select(F.col("id").alias("src"), F.col("community").alias("own"))
-        rated = toward.join(sizes, "community").join(own, "src").select("src", "own", "community", (F.col("w") - gamma * (F.col("n") - (F.col("own") == F.col("community")).cast("long"))).alias("gain"))
-        best = rated.groupBy("src").agg(F.max(F.struct("gain", "community")).alias("best"), F.coalesce(F.max(F.when(F.col("own") == F.col("community"), F.col("gain"))), F.lit(0.0)).alias("now"))
-        turn = F.pmod(F.xxhash64("src", F.lit(seed + k)), F.lit(2)) == 0
-        moves = best.filter(turn & (F.col("best.gain") > F.greatest("now", F.lit(0.0)) + 1e-12)).select(F.col("src").alias("id"), F.col("best.community").alias("to"))
-        state = cut(state.join(moves, "id", "left").select("id", F.coalesce("to", "community").alias("community"), F.col("to").isNotNull().alias("moved")))
-        still = is_empty(state.filter("moved"))
-        state = state.select("id", "community")
-        if still and k % 2:
+    steps: list[DataFrame] = []
+    arcs, nodes = cut(arcs.select("src", "dst", "w")), cut(nodes.select("id", "n", "whole"))
+    while True:
+        n_arcs = arcs.count()
+        if not n_arcs:
+            break
+        ends = arcs.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"), F.sum("w").alias("out")).join(nodes, "id")
+        sound = F.col("whole").isNull() | (F.col("out") >= gamma * F.col("n") * (F.col("whole") - F.col("n")) - LEAST_GAIN)
+        labels = cut(ends.select("id", "degree", F.struct("n", sound.alias("sound")).alias("c")))
+        gain = F.col("w") - gamma * F.col("a.n") * F.col("b.n")
+        rated = label_ends(arcs, labels, n_arcs).filter("a.sound and b.sound").select("src", F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y"), F.round(gain, 12).alias("gain"))
+        best = rated.filter(F.col("gain") > LEAST_GAIN).groupBy("src").agg(F.min(F.struct((-F.col("gain")).alias("neg"), "x", "y")).alias("o"))
+        pairs = cut(best.groupBy(F.col("o.x").alias("parent"), F.col("o.y").alias("id")).agg(F.count(F.lit(1)).alias("k")).filter("k = 2").select("id", "parent"))
+        if is_empty(pairs):
             break
-    inside = edges.join(state.select(F.col("id").alias("src"), F.col("community").alias("ca")), "src").join(state.select(F.col("id").alias("dst"), F.col("community").alias("cb")), "dst").filter("ca = cb")
-    parts = connected_components(inside.select("src", "dst")).select("id", F.col("root").alias("part"))
-    return state.join(parts, "id", "left").select("id", F.coalesce("part", "id").alias("community"))
+        steps.append(pairs)
+        named = cut(derived(labels, "id", "degree").join(pairs, "id", "left").select("id", "degree", F.coalesce("parent", "id").alias("c")))
+        arcs = cut(label_ends(arcs, named, n_arcs).filter("a <> b").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")))
+        nodes = cut(nodes.join(pairs, "id", "left").groupBy(F.coalesce("parent", "id").alias("id")).agg(F.sum("n").alias("n"), F.first("whole").alias("whole")))
+    if not steps:
+        return None
+    forest = steps[0]
+    for step in steps[1:]:
+        forest = forest.unionByName(step)
+    return follow_to_roots(forest)
+
+
+def _moved(arcs: DataFrame, state: DataFrame, n_arcs: int, gamma: float, turn: int) -> DataFrame | None:
+    """The state after one round of moves of nodes ``state(id, size, degree, c)`` to the community they gain most by;
+    None if no node gains.
+
+    Of the moves that gain, those are made that gain most of all from or to either of their two communities. No two of
+    them share a community, so their gains add up and every round raises the quality. A node that is best off alone
+    founds a community named after itself and the ``turn``.
+    """
+    labels = cut(state.select("id", "degree", F.struct("c", "size").alias("c")))
+    toward = label_ends(arcs, labels, n_arcs).groupBy("src", "a", F.col("b.c").alias("b")).agg(F.sum("w").alias("w"))
+    sizes = cut(state.groupBy(F.col("c").alias("b")).agg(F.sum("size").alias("n"), F.sum("degree").alias("arcs")))
+    here = F.col("a.c") == F.col("b")
+    gain = F.round(F.col("w") - gamma * F.col("a.size") * (F.col("n") - F.when(here, F.col("a.size")).otherwise(0)), 12)
+    rated = heavy_split_join(toward, sizes, "b", "arcs", n_arcs).select("src", "b", here.alias("here"), gain.alias("gain"))
+    best = rated.groupBy(F.col("src").alias("id")).agg(F.min(F.struct((-F.col("gain")).alias("neg"), (~F.col("here")).alias("away"), F.col("b").alias("c"))).alias("best"), F.max(F.when(F.col("here"), F.col("gain"))).alias("now"))
+    own = heavy_split_join(state, derived(sizes, F.col("b").alias("c"), "n", "arcs"), "c", "arcs", n_arcs).join(best, "id", "left")
+    now = F.coalesce("now", -gamma * F.col("size") * (F.col("n") - F.col("size")))
+    there = F.coalesce(-F.col("best.neg"), F.lit(0.0))
+    alone = F.struct(F.col("id").alias("id"), F.lit(turn).cast("long").alias("turn"))
+    wants = own.select("id", F.col("c").alias("own"), F.when(there > 0, F.col("best.c")).otherwise(alone).alias("goal"), (F.greatest(there, F.lit(0.0)) - now).alias("gained"))
+    wants = cut(wants.filter((F.col("gained") > LEAST_GAIN) & (F.col("own") != F.col("goal"))))
+    if is_empty(wants):
+        return None
+    moves = wants.select(F.struct((-F.col("gained")).alias("neg"), "id").alias("key"), F.explode(F.array("own", "goal")).alias("c"))
+    first = moves.groupBy("c").agg(F.min("key").alias("key")).groupBy(F.col("key.id").alias("id")).agg(F.count(F.lit(1)).alias("k")).filter("k = 2")
+    made = wants.join(first, "id").select("id", "goal")
+    return cut(state.join(made, "id", "left").select("id", "size", "degree", F.coalesce("goal", "c").alias("c")))
+
+
+def _settled(arcs: DataFrame, state: DataFrame, n_arcs: int, gamma: float, turn: int) -> tuple[DataFrame, int, bool]:
+    """Merge whole communities and move nodes until neither gains: (state, next turn, whether anything changed)."""
+    changed = False
+    while True:
+        between = label_ends(arcs, state, n_arcs).filter("a <> b").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w"))
+        sizes = state.groupBy(F.col("c").alias("id")).agg(F.sum("size").alias("n"), F.sum("degree").alias("arcs"))
+        roots = _merged(between, sizes.withColumn("whole", F.lit(None).cast("long")), gamma)
+        if roots is not None:
+            named = roots.select(F.col("id").alias("c"), "root").join(sizes.select(F.col("id").alias("c"), "arcs"), "c")
+            state = cut(heavy_split_join(state, named, "c", "arcs", n_arcs, how="left").select("id", "size", "degree", F.coalesce("root", "c").alias("c")))
+        n_moves = 0
+        while (moved := _moved(arcs, state, n_arcs, gamma, turn)) is not None:
+            state, turn, n_moves = moved, turn + 1, n_moves + 1
+        changed = changed or roots is not None or n_moves > 0
+        if not n_moves:
+            return state, turn, changed
+
+
+def leiden_rounds(edges: DataFrame, gamma: float, *, iterations: int = 2) -> DataFrame:
+    """``(id, community)`` by distributed rounds, for components that no single task should hold.
+
+    The three phases of the method over the whole graph: communities merge and vertices move until neither gains
+    (:func:`_settled`); every community is refined from single vertices into well-connected parts (:func:`_merged`);
+    parts become the vertices of the next level, where they move as wholes. Levels end when nothing changes any more,
+    and all of it is done again from the single vertices, ``iterations`` times in all or until it changes nothing.
+    Every step raises the quality, so there is no limit of rounds; of several best merges the first is taken, where
+    :func:`leiden_partition` draws one. Communities are connected.
+    """
+    base = cut(symmetrize(edges).select("src", "dst", (1.0 - F.col("d")).alias("w")))
+    degree = base.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
+    name = F.struct(F.col("id").alias("id"), F.lit(0).cast("long").alias("turn"))
+    member, turn = cut(degree.select("id", F.lit(1).cast("long").alias("size"), "degree", name.alias("c"))), 1
+    n_base, n_vertices = base.count(), member.count()
+    for _ in range(max(1, iterations)):
+        arcs, n_arcs, state, lower = base, n_base, member, None  # lower: vertices to the nodes of the level
+        level, changed_ever = 0, False
+        while True:
+            state, turn, changed = _settled(arcs, state, n_arcs, gamma, turn)
+            changed_ever = changed_ever or changed
+            if level and not changed:
+                break
+            sizes = cut(state.groupBy("c").agg(F.sum("size").alias("whole"), F.sum("degree").alias("arcs")))
+            nodes = heavy_split_join(state, sizes, "c", "arcs", n_arcs).select("id", F.col("size").alias("n"), "whole")
+            parts = _merged(label_ends(arcs, state, n_arcs).filter("a = b").select("src", "dst", "w"), nodes, gamma)
+            if parts is None:
+                break
+            named = cut(state.join(parts, "id", "left").select("id", "size", "degree", F.coalesce("root", "id").alias("p"), F.col("c").alias("of")))
+            placed = derived(named, "id", F.col("p").alias("node"), F.col("size").alias("n"))
+            lower = derived(placed, "id", "node") if lower is None else cut(heavy_split_join(lower.withColumnRenamed("node", "up"), derived(placed, F.col("id").alias("up"), "node", "n"), "up", "n", n_vertices).select("id", "node"))
+            arcs = cut(label_ends(arcs, derived(named, "id", "degree", F.col("p").alias("c")), n_arcs).filter("a <> b").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")))
+            n_arcs = arcs.count()
+            degrees = arcs.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
+            state = named.groupBy(F.col("p").alias("id")).agg(F.sum("size").alias("size"), F.first("of").alias("c")).join(degrees, "id", "left")
+            state = cut(state.select("id", "size", F.coalesce("degree", F.lit(0)).alias("degree"), "c"))
+            level += 1
+        if lower is None:
+            member = state
+        else:
+            top = derived(state, F.col("id").alias("node"), "c", F.col("size").alias("n"))
+            joined = heavy_split_join(lower, top, "node", "n", n_vertices).select("id", "c")
+            member = cut(member.drop("c").join(joined, "id"))
+        if not changed_ever:
+            break
+    inside = label_ends(base, member, n_base).filter("a = b and src < dst").select("src", "dst")
+    parts = connected_components(inside).select("id", F.col("root").alias("part"))
+    return member.select("id").join(parts, "id", "left").select("id", F.coalesce("part", "id").alias("community"))
 
 
 def leiden(edges: DataFrame, vertices: DataFrame, *, resolution: float = 0.7, beta: float = 0.01, iterations: int = 2, seed: int = 1, component_edges: int = COMPONENT_EDGES, small_graph: int = SMALL_GRAPH) -> DataFrame:
     """``(id, cluster_key)``: the first member's ``appear_key`` of each community.
 
     Each connected component is one grouped task; components of more than ``component_edges`` edges go through
-    :func:`leiden_rounds`. Vertices without an edge stand alone. An empty graph gives an empty result.
+    :func:`leiden_rounds`, which has the same phases. Vertices without an edge stand alone. An empty graph gives an
+    empty result.
     """
     edges = materialised(edges)
     roots = cut(connected_components(edges, small_graph))
@@ -188,16 +299,17 @@ def leiden(edges: DataFrame, vertices: DataFrame, *, resolution: float = 0.7, be
     within = placed.join(large, "comp", "left_anti") if giant else placed
     found = per_component(within, lambda pdf: _communities(pdf, resolution, beta, iterations, seed), f"id {id_type}, community {id_type}")
     if giant:
-        found = found.unionByName(leiden_rounds(placed.join(large, "comp", "left_semi").select("src", "dst", "d"), resolution, seed=seed))
+        found = found.unionByName(leiden_rounds(placed.join(large, "comp", "left_semi").select("src", "dst", "d"), resolution, iterations=iterations))
     labelled = cut(vertices.join(found, "id", "left").withColumn("community", F.coalesce("community", "id")))
-    keys = labelled.groupBy("community").agg(F.min("appear_key").alias("cluster_key"))
-    return labelled.join(keys, "community").select("id", "cluster_key")
+    keys = labelled.groupBy("community").agg(F.min("appear_key").alias("cluster_key"), F.count(F.lit(1)).alias("n"))
+    return heavy_split_join(labelled, keys, "community", "n", labelled.count()).select("id", "cluster_key")
 
 
 def cpm_quality(edges: DataFrame, members: DataFrame, resolution: float) -> DataFrame:
     """One row ``(quality)``: weight inside communities minus ``resolution`` times the pairs inside."""
-    a, b = members.select(F.col("id").alias("src"), F.col("community").alias("ca")), members.select(F.col("id").alias("dst"), F.col("community").alias("cb"))
-    inside = edges.join(a, "src").join(b, "dst").filter("ca = cb").select((1.0 - F.col("d")).alias("q"))
+    ends = degrees(edges).join(members, "id").select("id", F.col("community").alias("c"), "degree")
+    edges = materialised(edges)
+    inside = label_ends(edges, cut(ends), edges.count()).filter("a = b").select((1.0 - F.col("d")).alias("q"))
     n = F.col("count")
     pairs = members.groupBy("community").count().select((-F.lit(resolution) * n * (n - 1) / 2).alias("q"))
     return inside.unionByName(pairs).agg(F.coalesce(F.sum("q"), F.lit(0.0)).alias("quality"))

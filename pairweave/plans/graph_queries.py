@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import replace
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairweave.functions.transforms import range_predicate, to_distance, usable
-from pairweave.operators import assign, edges
+from pairweave.operators import assign, components, edges
 from pairweave.operators.compare import pairs_to_numeric, partition_similarity
 from pairweave.operators.leiden import cpm_quality
 from pairweave.plans.cluster import ClusterOptions, build_graph, cluster, keyed_clusters
+from pairweave.runtime import cut, ensure_checkpoint_dir
+from pairweave.sources.pairs import edge_lines, read_objects, read_pairs
 from pairweave.sources.tables import table
 
 #: The cut of the pair table that the clustering queries use.
 LOW, HIGH = 0.95, 1.0
 #: Cells that one task may hold in cluster_complete_rounds; all components that are larger go through several levels.
 ROUNDS_HOLD = 24
+#: Distances at which merges are counted.
+CUTS = (0.0, 0.005, 0.01, 0.02, 0.03, 0.04, 0.05)
 
 
 def _pairs(spark: SparkSession, folder: str) -> DataFrame:
@@ -117,6 +123,40 @@ def leiden_quality(spark: SparkSession, folder: str) -> DataFrame:
     return a.unionByName(b, allowMissingColumns=True).agg(F.round(F.max("quality"), 6).alias("quality"), F.round(F.max("quality_of_components"), 6).alias("quality_of_components"))
 
 
+def cluster_leiden_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    """The same by distributed rounds throughout, whatever the size of the components."""
+    return _assignment(spark, folder, algo="leiden", component_edges=0)
+
+
+def leiden_holds(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the communities of the distributed rounds: objects, those that would gain by moving to a
+    neighbouring community, pairs of communities that would gain by merging, communities in several pieces, and whether
+    the quality is within 1 % of what the one-task method reaches."""
+    options = _options(algo="leiden", component_edges=0).resolve(_pairs(spark, folder).columns)
+    graph = build_graph(_pairs(spark, folder), options, order=F.col("row_id"))
+    graph.edges, graph.vertices = cut(graph.edges), cut(graph.vertices)
+    found = cut(keyed_clusters(graph, options).select("id", F.to_json("cluster_key").alias("community")))
+    task = keyed_clusters(graph, replace(options, component_edges=None)).select("id", F.to_json("cluster_key").alias("community"))
+    arcs = edges.symmetrize(graph.edges).select("src", "dst", (1.0 - F.col("d")).alias("w"))
+    a, b = found.toDF("src", "a"), found.toDF("dst", "b")
+    sizes = found.groupBy("community").agg(F.count(F.lit(1)).alias("n"))
+    placed = cut(arcs.join(a, "src").join(b, "dst"))
+    sums = placed.groupBy("src", "a", "b").agg(F.sum("w").alias("w")).join(sizes.toDF("b", "nb"), "b")
+    gain = F.col("w") - 0.7 * (F.col("nb") - (F.col("a") == F.col("b")).cast("int"))
+    per = sums.groupBy("src", "a").agg(F.max(gain).alias("best"), F.max(F.when(F.col("a") == F.col("b"), gain)).alias("now")).join(sizes.toDF("a", "na"), "a")
+    moves = per.filter(F.greatest("best", F.lit(0.0)) > F.coalesce("now", -0.7 * (F.col("na") - 1)) + 1e-6).agg(F.count(F.lit(1)).alias("n_gaining_moves"))
+    between = placed.filter("a < b").groupBy("a", "b").agg(F.sum("w").alias("w")).join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
+    merges = between.filter(F.col("w") > 0.7 * F.col("na") * F.col("nb") + 1e-6).agg(F.count(F.lit(1)).alias("n_gaining_merges"))
+    parts = components.connected_components(placed.filter("a = b and src < dst").select("src", "dst")).join(found, "id")
+    split = parts.groupBy("community").agg(F.countDistinct("root").alias("k")).filter("k > 1").agg(F.count(F.lit(1)).alias("n_split"))
+    quality = cpm_quality(graph.edges, found, 0.7).unionByName(cpm_quality(graph.edges, task, 0.7).withColumnRenamed("quality", "of_task"), allowMissingColumns=True)
+    near = quality.agg((F.max("quality") >= 0.99 * F.max("of_task")).alias("near_task_quality"))
+    out = found.agg(F.count(F.lit(1)).alias("n_objects"))
+    for part in (moves, merges, split, near):
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out.agg(*[F.max(c).alias(c) for c in ("n_objects", "n_gaining_moves", "n_gaining_merges", "n_split", "near_task_quality")])
+
+
 def _objects(spark: SparkSession, folder: str) -> DataFrame:
     firsts = table(spark, folder, "toy_ids", "id", "rec_id").filter("id is not null").groupBy("id").agg(F.min("rec_id").alias("first"))
     return assign.with_position(firsts, [F.asc("first")], "gi").select(F.col("id").alias("object"), "gi")
@@ -186,6 +226,99 @@ def vir61_percent(spark: SparkSession, folder: str) -> DataFrame:
     return cluster(rows, order=F.struct(F.least("id1", "id2"), F.greatest("id1", "id2")), options=options).select("object", "cluster")
 
 
+def load_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of the table, rows that survive, edges and directed entries."""
+    return edges.load_counts(_pairs(spark, folder), _rows(spark, folder), _edges(spark, folder))
+
+
+def distance_histogram_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """Directed entries by distance over the whole table, without a cut."""
+    return edges.distance_histogram(edges_unfiltered(spark, folder)).select("bin", "n")
+
+
+def _genomes(spark: SparkSession, folder: str) -> DataFrame:
+    """The genome pairs with every similarity as a share, whatever scale it is given in."""
+    rows = table(spark, folder, "vir61_ani", "id1", "id2", "ani")
+    return rows.select("id1", "id2", F.when(F.col("ani") > 1, F.col("ani") * 0.01).otherwise(F.col("ani")).alias("share"))
+
+
+def vir61_whole(spark: SparkSession, folder: str, algo: str) -> DataFrame:
+    """Clusters of all genomes, in the order of their pairs' names."""
+    options = ClusterOptions(algo=algo, id_cols=("id1", "id2"), distance_col="share", kind="similarity", minimum={"share": 0.95}, maximum={"share": 1.0})
+    rows = _genomes(spark, folder)
+    return cluster(rows, order=F.struct(F.least("id1", "id2"), F.greatest("id1", "id2")), options=options).select("object", "cluster")
+
+
+def merge_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """The merges of single linkage, nearest first."""
+    return components.single_linkage_merges(_edges(spark, folder)).select("step", "src", "dst", "d")
+
+
+def merge_heights(spark: SparkSession, folder: str) -> DataFrame:
+    """Merges of single linkage up to each of some distances: objects less clusters at that cut."""
+    tree = components.single_linkage_merges(_edges(spark, folder))
+    cuts = F.explode(F.array(*[F.lit(x) for x in CUTS])).alias("cut")
+    return tree.select("d", cuts).filter("d <= cut").groupBy("cut").agg(F.count(F.lit(1)).alias("n_merges"))
+
+
+# Text: the tables are written as the delimited files that a pair table comes as, into the shared folder, and read back.
+
+
+def _written(df: DataFrame, separator: str) -> str:
+    """The rows, in the order they come in, as text files with a header; null is an empty field."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/text-{uuid.uuid4().hex}"
+    df.write.option("header", True).option("sep", separator).option("nullValue", "").option("emptyValue", "").csv(path)
+    return path
+
+
+def text_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """The pair table read from comma-separated text; rows without a number in tani are left out."""
+    path = _written(_pairs(spark, folder).select("row_id", "id1", "id2", "tani", "cov"), ",")
+    rows, _ = read_pairs(spark, path, id_cols=("id1", "id2"), distance_col="tani", filters=["row_id"], permissive=True)
+    return rows.filter(usable(F.col("tani"))).select(F.col("row_id").cast("long").alias("row_id"), "id1", "id2", "tani")
+
+
+def text_pairs_numeric(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with object numbers, from tab-separated text; rows without a number in either are left out."""
+    path = _written(_pairs(spark, folder).select("row_id", "idx1", "idx2", "tani"), "\t")
+    rows, _ = read_pairs(spark, path, id_cols=("idx1", "idx2"), distance_col="tani", filters=["row_id"], numeric_ids=True, permissive=True)
+    return rows.filter(usable(F.col("tani"))).select(F.col("row_id").cast("long").alias("row_id"), "idx1", "idx2", "tani")
+
+
+def text_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Single linkage from text to assignment, rows in the order of their lines."""
+    path = _written(_pairs(spark, folder).filter("id1 is not null and id2 is not null").orderBy("row_id").select("id1", "id2", "tani"), "\t")
+    rows, order = read_pairs(spark, path, permissive=True)
+    return cluster(rows, order=order, options=_options()).select("object", "cluster")
+
+
+def text_objects(spark: SparkSession, folder: str) -> DataFrame:
+    """The list of objects from text, with their positions."""
+    firsts = table(spark, folder, "toy_ids", "id", "rec_id").filter("id is not null").groupBy("id").agg(F.min("rec_id").alias("first"))
+    path = _written(firsts.orderBy("first").select("id", "first"), "\t")
+    return read_objects(spark, path)
+
+
+def _placed(out: DataFrame) -> DataFrame:
+    return assign.with_position(out, [F.asc("cluster_no"), F.asc("out_key")], "place").select("place", "object", "cluster")
+
+
+def output_order(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines of the assignment file: by cluster, then by name."""
+    return _placed(_clustered(spark, folder))
+
+
+def output_order_listed(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines of the assignment file of listed objects, by cluster and then position, with representatives."""
+    return _placed(cluster(_pairs(spark, folder), order=F.col("row_id"), objects=_objects(spark, folder), options=_options(missing="drop", representatives=True)))
+
+
+def edge_dump(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines of the edge file in their order."""
+    lines = edge_lines(_edges(spark, folder), edges.vertices(_rows(spark, folder)))
+    return assign.with_position(lines, [F.asc("src"), F.asc("nearby")], "place").select("place", "line")
+
+
 _ALGOS = {"single": "single", "cdhit": "cd-hit", "uclust": "uclust", "setcover": "set-cover", "complete": "complete"}
 
 QUERIES = {
@@ -210,6 +343,8 @@ QUERIES = {
     "cluster_complete_rounds": partial(_assignment, algo="complete", component_edges=ROUNDS_HOLD),
     "cluster_leiden": cluster_leiden,
     "leiden_quality": leiden_quality,
+    "cluster_leiden_rounds": cluster_leiden_rounds,
+    "leiden_holds": leiden_holds,
     "cluster_representatives": cluster_representatives,
     "cluster_with_objects": cluster_with_objects,
     "cluster_with_objects_cdhit": cluster_with_objects_cdhit,
@@ -219,6 +354,20 @@ QUERIES = {
     "partition_agreement": partition_agreement,
     "vir61_single": vir61_single,
     "vir61_percent": vir61_percent,
+    "load_counts": load_counts,
+    "distance_histogram_whole": distance_histogram_whole,
+    "vir61_whole_single": partial(vir61_whole, algo="single"),
+    "vir61_whole_setcover": partial(vir61_whole, algo="set-cover"),
+    "vir61_whole_cdhit": partial(vir61_whole, algo="cd-hit"),
+    "merge_tree": merge_tree,
+    "merge_heights": merge_heights,
+    "text_pairs": text_pairs,
+    "text_pairs_numeric": text_pairs_numeric,
+    "text_clusters": text_clusters,
+    "text_objects": text_objects,
+    "output_order": output_order,
+    "output_order_listed": output_order_listed,
+    "edge_dump": edge_dump,
 }
 
 # --- SQL ---------------------------------------------------------------------------------------------------------
@@ -307,6 +456,12 @@ with recursive r as (select id1 as a, id2 as b from vir61_ani where ani between
 """
 _VIR_SINGLE = _VIR61.format(low=0.95, high=1.0, x="a", y="b") + _ranked("k") + _REACH + """, keyed as (select x as id, min(o.i) as key from reach join o on o.id = reach.y group by 1)""" + _NUMBERED
 _VIR_PERCENT = _VIR61.format(low=95, high=100, x="least(a, b)", y="greatest(a, b)") + _COVERED + _ranked("deg desc, k", "w") + _SEEDS + _attach("p.i") + _NUMBERED
+_WHOLE = _VIR61.replace("from vir61_ani", "from (select id1, id2, case when ani > 1 then ani * 0.01 else ani end as ani from vir61_ani)").format(low=0.95, high=1.0, x="least(a, b)", y="greatest(a, b)")
+# a merge for every edge that joins two components of the shorter edges: components before less components after
+_FOREST = """, cuts as (select unnest([{cuts}]::double[]) as cut),
+ linked(cut, x, y) as (select cut, id, id from v, cuts union select linked.cut, linked.x, n.dst from linked join n on n.src = linked.y and n.d <= linked.cut),
+ parts as (select cut, x, min(y) as root from linked group by 1, 2)
+select cut, count(*) - count(distinct root) as n_merges from parts group by 1 having count(*) > count(distinct root)"""
 _BOUNDS = "(select list(x) from (select unnest(" + str(edges.histogram_bounds()) + ") as x))"
 
 ORACLE = {
@@ -349,4 +504,19 @@ ORACLE = {
 select sum(n12)::bigint as n_items, count(distinct c1) as n_clusters_left, count(distinct c1) filter (where j < 1) as n_mismatched, round(sum(j * n12) / sum(n12), 9) as similarity from s""",
     "vir61_single": _VIR_SINGLE + _OUT,
     "vir61_percent": _VIR_PERCENT + _OUT,
+    "leiden_holds": _GRAPH + " select count(*) as n_objects, 0::bigint as n_gaining_moves, 0::bigint as n_gaining_merges, 0::bigint as n_split, true as near_task_quality from v",
+    "load_counts": _GRAPH + " select (select count(*) from toy_ani) as n_parsed, (select count(*) from r) as n_rows, (select count(*) from e) as n_edges, (select count(*) from n) as n_directed",
+    "distance_histogram_whole": f"""with e as (select min(1.0 - tani) as d from toy_ani where id1 <> id2 and tani is not null and not isnan(tani) group by least(id1, id2), greatest(id1, id2))
+select len(list_filter({_BOUNDS}, lambda b: b <= d)) as bin, 2 * count(*) as n from e group by 1""",
+    "vir61_whole_single": _WHOLE + _ranked("k") + _REACH + """, keyed as (select x as id, min(o.i) as key from reach join o on o.id = reach.y group by 1)""" + _NUMBERED + _OUT,
+    "vir61_whole_setcover": _WHOLE + _COVERED + _ranked("deg desc, k", "w") + _SEEDS + _attach("p.i") + _NUMBERED + _OUT,
+    "vir61_whole_cdhit": _WHOLE + _ranked("k") + _SEEDS + _attach("p.i") + _NUMBERED + _OUT,
+    "merge_heights": _GRAPH + _FOREST.format(cuts=", ".join(map(str, CUTS))),
+    "text_pairs": "select row_id, coalesce(id1, '') as id1, coalesce(id2, '') as id2, tani from toy_ani where tani is not null and not isnan(tani)",
+    "text_pairs_numeric": "select row_id, idx1, idx2, tani from toy_ani where idx1 is not null and idx2 is not null and tani is not null and not isnan(tani)",
+    "text_clusters": _SINGLE + _OUT,
+    "text_objects": "with recursive x as (select 1)" + _LISTED + " select object, gi from objects",
+    "output_order": _SINGLE + " select row_number() over (order by cluster, id) - 1 as place, id as object, cluster from keyed join numbers using (key)",
+    "output_order_listed": _WITH_OBJECTS + " select row_number() over (order by cluster, gi) - 1 as place, object, arg_min(object, gi) over (partition by cluster) as cluster from whole",
+    "edge_dump": _GRAPH + " select row_number() over (order by src, k) - 1 as place, format('{},{},{:.10f}', src, dst, d) as line from n join v on v.id = n.dst",
 }

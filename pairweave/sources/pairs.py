@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 
 #: What separates fields, and what separates the names of a header.
 FIELD_SEPARATORS = "[,\\t]"
+#: What can't occur in a line, as the separator of a reader that shall not separate.
+NO_SEPARATOR = "\u0001\u0002"
 ORDER = "_order"
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Non-empty lines ``(value, _order)``; Hadoop splits the file, the order key restores the order of lines."""
-    lines = spark.read.text(path)
+    """Non-empty lines ``(value, _order)`` of every file after its first; Hadoop splits the files, the order key
+    restores the order of lines.
+
+    Lines are read as records of a single field: only that reader knows in which split a file begins.
+    """
+    lines = spark.read.schema("value string").option("header", True).option("enforceSchema", True).option("sep", NO_SEPARATOR).option("quote", "").option("escape", "").csv(path)
     key = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
     return lines.select(F.regexp_replace("value", "\\r$", "").alias("value"), key.alias(ORDER)).filter("value <> ''")
 
@@ -24,8 +30,9 @@ def header_of(spark: SparkSession, path: str) -> list[str]:
 
 
 def read_pairs(spark: SparkSession, path: str, *, id_cols=None, distance_col=None, filters=(), numeric_ids: bool = False, permissive: bool = False) -> tuple[DataFrame, Column]:
-    """A delimited pair table with a header, and the order of its rows.
+    """A delimited pair table with a header, and the order of its rows. The path may be a folder of such files.
 
+    The first line of a file is its header, whatever it says; one that stands elsewhere is a row, and ill-formatted.
     Comma and tab both separate fields, even within one file. Only the ids, the distance and the filter columns are
     converted. A row of another width, or a value that isn't a number, is an error with that row in it; with
     ``permissive`` such rows are left out instead. A file with a header only gives an empty table.
@@ -40,8 +47,6 @@ def read_pairs(spark: SparkSession, path: str, *, id_cols=None, distance_col=Non
         raise ValueError(f"the pair table has no column {unknown[0]!r}")
     wanted.sort(key=names.index)
     lines = _lines(spark, path).withColumn("f", F.split("value", FIELD_SEPARATORS, -1))
-    header = F.array_compact(F.split(F.regexp_replace("value", ",", " "), "\\s+")) == F.array(*[F.lit(n) for n in names])
-    lines = lines.filter(~header)
     columns, good = [], F.size("f") == len(names)
     for c in wanted:
         raw = F.get(F.col("f"), F.lit(names.index(c)))
@@ -61,23 +66,22 @@ def read_objects(spark: SparkSession, path: str) -> DataFrame:
     from pairweave.operators.assign import with_position
 
     lines = _lines(spark, path).select(F.get(F.split("value", FIELD_SEPARATORS), F.lit(0)).alias("object"), ORDER)
-    placed = with_position(lines, [F.asc(ORDER)], "p")
-    return placed.filter("p > 0").select("object", (F.col("p") - 1).alias("gi"))
+    return with_position(lines, [F.asc(ORDER)], "gi").select("object", "gi")
 
 
 def write_assignment(assigned: DataFrame, path: str, *, csv: bool = False) -> None:
-    """Header ``object<sep>cluster`` and one line per object, ordered by cluster and then output order.
+    """A folder of lines ``object<sep>cluster``, ordered by cluster and then output order over all its files.
 
-    One part file per range of clusters, so that no single task sorts everything; :func:`write_single_file` joins
-    them for a file of its own.
+    One file per range of clusters, so that no single task sorts everything, each with the header, as readers of
+    folders expect; :func:`write_single_file` writes one file with one header.
     """
-    ordered = assigned.orderBy("cluster_no", "out_key")
-    line = F.concat_ws("," if csv else "\t", F.col("object").cast("string"), F.col("cluster").cast("string"))
-    ordered.select(line.alias("value")).write.mode("overwrite").text(path)
+    ordered = assigned.orderBy("cluster_no", "out_key").select(F.col("object").cast("string").alias("object"), F.col("cluster").cast("string").alias("cluster"))
+    ordered.write.mode("overwrite").option("header", True).option("sep", "," if csv else "\t").option("quote", "\u0000").option("emptyValue", "").csv(path)
 
 
 def write_single_file(assigned: DataFrame, path: str, *, csv: bool = False) -> None:
-    """As :func:`write_assignment`, into one local file, streamed through the driver a partition at a time."""
+    """Header ``object<sep>cluster`` and one line per object in output order, in one local file, streamed through the
+    driver a partition at a time."""
     sep = "," if csv else "\t"
     ordered = assigned.orderBy("cluster_no", "out_key").select(F.col("object").cast("string"), F.col("cluster").cast("string"))
     with open(path, "w", newline="") as out:
@@ -86,10 +90,18 @@ def write_single_file(assigned: DataFrame, path: str, *, csv: bool = False) -> N
             out.write(f"{row[0]}{sep}{row[1]}\n")
 
 
-def dump_edges(edges: DataFrame, path: str) -> None:
-    """``name,name,distance`` per directed entry, sorted by both names; ten significant digits, no padding."""
+def edge_lines(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """``(src, nearby, line)``: ``name,name,distance`` of every directed entry, the distance with ten decimals.
+
+    Lines sort by the first name and then by the first appearance (``nearby``) of the second object.
+    """
     from pairweave.operators.edges import symmetrize
 
-    both = symmetrize(edges).orderBy("src", "dst")
-    digits = F.regexp_replace(F.regexp_replace(F.format_string("%.10g", F.col("d")), "(\\.[0-9]*?)0+$", "$1"), "\\.$", "")
-    both.select(F.concat_ws(",", F.col("src").cast("string"), F.col("dst").cast("string"), digits).alias("value")).write.mode("overwrite").text(path)
+    both = symmetrize(edges).join(vertices.select(F.col("id").alias("dst"), F.col("appear_key").alias("nearby")), "dst")
+    line = F.concat_ws(",", F.col("src").cast("string"), F.col("dst").cast("string"), F.format_string("%.10f", F.col("d")))
+    return both.select("src", "nearby", line.alias("line"))
+
+
+def dump_edges(edges: DataFrame, vertices: DataFrame, path: str) -> None:
+    """:func:`edge_lines` in their order, in a folder of text files."""
+    edge_lines(edges, vertices).orderBy("src", "nearby").select(F.col("line").alias("value")).write.mode("overwrite").text(path)

@@ -160,9 +160,7 @@ def test_leiden_cliques_and_quality(spark):
         got = defaultdict(set)
         for r in leiden(e, v, component_edges=limit).collect():
             got[r["cluster_key"]].add(int(r["id"][1:]) // 10)
-        if limit:
-            assert sorted(map(sorted, got.values())) == [[0], [1], [2]]
-        assert all(len(x) == 1 for x in got.values())
+        assert sorted(map(sorted, got.values())) == [[0], [1], [2]]
     alone = leiden(e, v, resolution=0.95).select("cluster_key").distinct().count()
     assert alone == len(ids)
     members = leiden(e, v).select("id", F.col("cluster_key").cast("string").alias("community"))
@@ -170,6 +168,43 @@ def test_leiden_cliques_and_quality(spark):
     assert cpm_quality(e, members, 0.7).first()[0] > cpm_quality(e, single, 0.7).first()[0]
 
 
+def test_leiden_rounds_against_the_task(spark):
+    rng = random.Random(3)
+    g = graph(rng, 36, 150, (0.02, 0.1, 0.2))
+    e, v, ids = frames(spark, g, list(range(36)))
+    quality = {}
+    for limit in (0, 1_000):
+        members = leiden(e, v, component_edges=limit).select("id", F.col("cluster_key").cast("string").alias("community"))
+        quality[limit] = cpm_quality(e, members, 0.7).first()[0]
+        rows = members.collect()
+        if not limit:
+            where, nb = {int(r["id"][1:]): r["community"] for r in rows}, neighbours(g)
+            for x in ids:  # nobody gains by moving, or by being alone
+                gain = {c: sum(1 - d for y, d in nb[x].items() if where[y] == c) - 0.7 * sum(where[y] == c and y != x for y in ids) for c in {where[x], *(where[y] for y in nb[x])}}
+                assert gain[where[x]] >= max(0.0, *gain.values()) - 1e-9
+    assert quality[0] >= 0.95 * quality[1_000]
+
+
+def test_single_linkage_merges(spark):
+    rng = random.Random(5)
+    g = graph(rng, 40, 70)
+    e, _, _ = frames(spark, g, list(range(40)))
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    want = []
+    for d, a, b in sorted((d, a, b) for (a, b), d in g.items()):
+        if find(a) != find(b):
+            up[find(a)] = find(b)
+            want.append((len(want), f"v{a:03}", f"v{b:03}", d))
+    assert [tuple(r) for r in components.single_linkage_merges(e).orderBy("step").collect()] == want
+    assert components.single_linkage_merges(e.limit(0)).collect() == []
+
+
 def test_leiden_partition_properties():
     rng = random.Random(1)
     for _ in range(20):

@@ -50,8 +50,29 @@ def test_command_line(spark, tmp_path, capsys):
 
 
 def test_folder_sinks(spark, tmp_path):
-    df = spark.createDataFrame([("a", "b", 0.1), ("b", "c", 0.25)], "x string, y string, d double")
+    df = spark.createDataFrame([("b", "a", 0.1), ("b", "c", 0.25)], "x string, y string, d double")
     write_assignment(cluster(df), str(tmp_path / "out"))
-    assert [r[0] for r in spark.read.text(str(tmp_path / "out")).collect()] == ["a\t0", "b\t0", "c\t0"]
-    dump_edges(df.toDF("src", "dst", "d"), str(tmp_path / "edges"))
-    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "edges")).collect()) == ["a,b,0.1", "b,a,0.1", "b,c,0.25", "c,b,0.25"]
+    back = spark.read.option("header", True).option("sep", "\t").csv(str(tmp_path / "out"))
+    assert [tuple(r) for r in back.collect()] == [("a", "0"), ("b", "0"), ("c", "0")] and back.columns == ["object", "cluster"]
+    e = df.toDF("src", "dst", "d")
+    v = spark.createDataFrame([("b", 0), ("c", 1), ("a", 2)], "id string, appear_key int")
+    dump_edges(e, v, str(tmp_path / "edges"))
+    assert [r[0] for r in spark.read.text(str(tmp_path / "edges")).collect()] == ["a,b,0.1000000000", "b,c,0.2500000000", "b,a,0.1000000000", "c,b,0.2500000000"]
+
+
+def test_only_first_lines_are_headers(spark, tmp_path):
+    (tmp_path / "p").mkdir()
+    for name in "xy":
+        (tmp_path / "p" / name).write_text(f"id1,id2,d\n{name},b,0.5\n")
+    df, order = read_pairs(spark, str(tmp_path / "p"))
+    assert [r["id1"] for r in df.orderBy(order).collect()] == ["x", "y"]
+    (tmp_path / "q").write_text("id1,id2,d\na,b,0.5\nid1,id2,d\n")
+    with pytest.raises(Exception, match="ill-formatted row"):
+        read_pairs(spark, str(tmp_path / "q"))[0].collect()
+
+
+def test_command_line_names_the_bad_row(spark, tmp_path, capsys):
+    (tmp_path / "p").write_text("id1,id2,s\nb,a,0.9\nb,c\n")
+    assert main([str(tmp_path / "p"), str(tmp_path / "o")]) == 1
+    said = capsys.readouterr().err
+    assert said.startswith("error: ") and "b,c" in said and said.count("\n") == 1
