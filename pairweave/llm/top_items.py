@@ -63,7 +63,9 @@ def top_items(rows: DataFrame, n: int, *, bounded_groups: int = BOUNDED_GROUPS,
     One pass over the rows takes every piece's N-th best item as a bound for its group; the best bound of each group
     that holds at least ``1/bounded_groups`` of the rows (so at most ``bounded_groups`` of them) is broadcast, and a
     second pass keeps only rows that reach it. Only survivors are shuffled: a few rows for a large group, however
-    large, and all rows for a group that is small. Other groups have no bound and lose no row to one.
+    large, and all rows for a group that is small. Other groups have no bound and lose no row to one. A group with so
+    few distinct items that no piece has N has no bound either, but its repeats are folded into one row per item and
+    task before the shuffle, and each task passes on its best N items of a group only.
     """
     rows = rows.select(F.col("g").cast("string").alias("g"), F.col("item").cast("string").alias("item"), F.col("score").cast("double").alias("score"))
     rows = rows.filter("g is not null and item is not null and score is not null and not isnan(score)")
@@ -74,8 +76,8 @@ def top_items(rows: DataFrame, n: int, *, bounded_groups: int = BOUNDED_GROUPS,
     bounds = groups.filter(F.col("b").isNotNull() & (F.col("n") * bounded_groups >= total)).select("g", "b")
     reached = F.col("b").isNull() | (F.struct((-F.col("score")).alias("neg"), F.col("item").alias("item")) <= F.col("b"))
     kept = rows.join(F.broadcast(bounds), "g", "left").filter(reached).select("g", "item", "score")
-    # one shuffle by group serves both the distinct items and the ranking; what is left of a large group is small
-    distinct = kept.repartition("g").groupBy("g", "item").agg(F.max("score").alias("score"))
+    # the first shuffle is by group and item, so that no group meets in one task; the second moves N rows a task
+    distinct = kept.groupBy("g", "item").agg(F.max("score").alias("score"))
     place = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("score"), F.asc("item")))
     return distinct.withColumn("place", place.cast("long")).filter(F.col("place") <= n).select("g", "place", "item", "score")
 

@@ -33,6 +33,17 @@ def test_all_scores_equal_in_a_large_group(spark):
     assert got == ["i000", "i001", "i002"]
 
 
+def test_repeats_are_folded_before_the_shuffle(spark):
+    """A group of many rows and two items has no bound; one row per item and task is what leaves a task."""
+    df = spark.range(300_000).selectExpr("concat('hot', id % 1) as g", "concat('i', id % 2) as item", "cast(id % 7 as double) as score", "1 as place")
+    out = top_items(df, 3)
+    assert [tuple(r) for r in out.orderBy("place").collect()] == [("hot0", 1, "i0", 6.0), ("hot0", 2, "i1", 6.0)]
+    lines = out._jdf.queryExecution().executedPlan().toString().splitlines()
+    exchanges = [i for i, line in enumerate(lines) if " Exchange hashpartitioning" in line]
+    assert any("Aggregate" in line and "partial_max" in line for line in lines[exchanges[-1] + 1 :])
+    assert any("WindowGroupLimit" in line and "Partial" in line for line in lines)
+
+
 def test_empty(spark):
     assert top_items(spark.createDataFrame([], SCHEMA), 3).collect() == []
     assert top_items(spark.createDataFrame([(None, "a", 1.0, 0), ("g", "a", None, 0)], SCHEMA), 3).collect() == []
