@@ -38,59 +38,55 @@ def field_winners(records: DataFrame, members: DataFrame, trust: DataFrame, rule
     ids per group, one group per id), ``trust`` has ``provider, trust_rank``. The result has ``group, n_records``
     and, per field f, ``f_rec`` (0 if no record has a usable value), ``f_value`` and ``f_votes``.
 
-    Fields are unpivoted to long rows. Each usable value is a vote for its normalised value, weighing the source's
-    trust (1 / rank; unknown sources count as one rank below the worst) times the recency decay (halved every
-    ``half_life_days`` before the newest record of the group; a null date counts as no recency at all). Votes of a
-    value are summed, and every value also keeps its best record: lowest rank, then latest date (null last), then
-    smallest rec_id. With ``rule="votes"`` the value with most votes wins; with ``rule="order"`` the value whose best
-    record comes first wins, whatever the sums. Winners are taken by max_by and pivoted back.
-
-    Votes are first summed per object, on both sides of whose join each object is unique, and then per group, so
-    neither a record-rich object nor a large group ever meets in one task. Objects without records, records without a
-    group, null ids and null groups drop out; repeated rows of ``members`` count once, repeated records each.
-    Other columns, whatever their names, are ignored. An empty table gives an empty result.
+    Fields are unpivoted to long rows, one vote per usable value. A vote weighs the source's trust times a recency
+    decay; the votes of a normalised value are summed, the value with the highest sum wins by max_by, and winners are
+    pivoted back. ``rule`` says how steep the weights are:
+
+    * ``votes``: trust is 1 / rank (unknown sources count 1 / 65,536), recency is halved every ``half_life_days``
+      (a null date has none). Sums are doubles; a vote more than 1,000 half-lives before the newest record weighs 0.
+      Equal sums, to nine digits of their logarithm, go by the order below.
+    * ``order``: weights so steep that no number of lesser votes outweighs a greater one. Such a sum is a number
+      whose digits, from the highest on, count the votes of each (trust, date, record), so it compares by its leading
+      digit: lowest rank, then latest date (null last), then smallest rec_id, which no two values share. The leading
+      digit of a sum is the largest of its votes, and so is added up by max, without overflow.
+
+    Votes are summed per object and then per group, each before its shuffle, so neither a record-rich object nor a
+    large group ever meets in one task. Objects without records, records without a group, null ids and null groups
+    drop out; repeated rows of ``members`` count once, repeated records each. Other columns, whatever their names, are
+    ignored. An empty table gives an empty result.
     """
     if rule not in ("order", "votes"):
         raise ValueError("rule must be 'order' or 'votes'")
     ranks = trust.select(plain_name(F.col("provider")).alias("_p"), "trust_rank").filter("_p is not null").groupBy("_p").agg(F.min("trust_rank").alias("rank"))
-    records = records.select("rec_id", "id", "updated_at", plain_name(F.col("provider")).alias("_p"), *rules)
+    records = records.select("rec_id", "id", "updated_at", plain_name(F.col("provider")).alias("_p"), *rules).filter("id is not null")
     named = records.join(ranks, "_p", "left")
-    # the recency decay is taken relative to a fixed day and rescaled per group, which leaves every comparison alone
-    age = F.unix_micros(F.col("updated_at").cast("timestamp")) / F.lit(86_400_000_000.0 * half_life_days)
-    best = F.struct((-F.coalesce("rank", F.lit(1 << 30))).alias("trust"), F.col("updated_at").alias("at"), (-F.col("rec_id")).alias("neg_id"))
-    entry = [F.struct(F.lit(f).alias("field"), F.when(r.usable(F.col(f)), r.normalise(F.col(f))).alias("value")) for f, r in rules.items()]
-    entry.append(F.struct(F.lit("*").alias("field"), F.lit(None).cast("long").alias("value")))
-    long_rows = named.select("id", age.alias("age"), best.alias("best"), F.coalesce("rank", F.lit(None).cast("int")).alias("rank"), F.explode(F.array(*entry)).alias("e"))
-    long_rows = long_rows.select("id", "e.field", "e.value", "age", "best", "rank").filter("field = '*' or value is not null")
-    # a vote is trust * 2^(age - newest); sums are kept with their own newest age so that no power overflows
-    worst = F.lit(2.0) * F.greatest(F.coalesce("rank", F.lit(1 << 15)), F.lit(1))
-    weight = F.when(F.col("rank").isNull(), F.lit(1.0 / (1 << 16))).otherwise(F.lit(2.0) / worst)
-    per_object = (
-        long_rows.withColumn("bin", F.floor("age"))
-        .groupBy("id", "field", "value", "bin")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("best").alias("best"), F.sum(weight * F.pow(F.lit(2.0), F.col("age") - F.col("bin"))).alias("votes"))
-    )
+    digit = F.struct((-F.coalesce("rank", F.lit(1 << 30))).alias("trust"), F.unix_micros(F.col("updated_at").cast("timestamp")).alias("at"), (-F.col("rec_id")).alias("neg_id"))
+    if rule == "votes":
+        newest = F.lit(records.agg(F.max(F.unix_micros(F.col("updated_at").cast("timestamp"))).alias("m")).first()["m"] or 0)
+        age = (newest - F.unix_micros(F.col("updated_at").cast("timestamp"))) / F.lit(86_400_000_000.0 * half_life_days)
+        weight = F.when(F.col("rank").isNull(), F.lit(1.0 / (1 << 16))).otherwise(F.lit(1.0) / F.greatest(F.col("rank"), F.lit(1)))
+        flat = F.coalesce(weight * F.pow(F.lit(2.0), -age), F.lit(0.0))
+    else:
+        flat = F.lit(None).cast("double")
+    # the field is its place in the rules; -1 counts the record itself
+    entry = [F.struct(F.lit(i).alias("field"), F.when(r.usable(F.col(f)), r.normalise(F.col(f))).alias("value")) for i, (f, r) in enumerate(rules.items())]
+    entry.append(F.struct(F.lit(-1).alias("field"), F.lit(None).cast("long").alias("value")))
+    votes = named.select("id", digit.alias("steep"), flat.alias("flat"), F.explode(F.array(*entry)).alias("e"))
+    votes = votes.select("id", "e.field", "e.value", "steep", "flat").filter("field = -1 or value is not null")
+    add = lambda n: [F.sum(n).alias("n"), F.max("steep").alias("steep"), F.sum("flat").alias("flat")]
+    per_object = votes.groupBy("id", "field", "value").agg(*add(F.lit(1)))
     known = members.filter("id is not null and `group` is not null").select("id", "group").distinct()
-    per_value = (
-        per_object.join(known, "id")
-        .groupBy("group", "field", "value", "bin")
-        .agg(F.sum("n").alias("n"), F.max("best").alias("best"), F.sum("votes").alias("votes"))
-    )
-    newest = F.max(F.struct("bin", "votes"))
-    per_value = per_value.groupBy("group", "field", "value").agg(F.sum("n").alias("n"), F.max("best").alias("best"), newest["bin"].alias("top_bin"), F.collect_list(F.struct("bin", "votes")).alias("bins"))
-    score = F.log2(F.aggregate("bins", F.lit(0.0), lambda s, b: s + F.when(b["bin"].isNull(), F.lit(0.0)).otherwise(b["votes"] * F.pow(F.lit(2.0), b["bin"] - F.col("top_bin"))))) + F.col("top_bin")
-    per_value = per_value.select("group", "field", "value", "n", "best", F.coalesce(F.round(score, 9), F.lit(-1e300)).alias("score"))
-    order = F.col("best") if rule == "order" else F.struct("score", "best")
-    won = per_value.groupBy("group", "field").agg(F.max_by(F.struct("value", "best", "score"), order).alias("w"), F.sum("n").alias("n"))
-    out = [F.max(F.when(F.col("field") == "*", F.col("n"))).alias("n_records")]
+    summed = per_object.join(known, "id").groupBy("group", "field", "value").agg(*add(F.col("n")))
+    score = F.col("steep") if rule == "order" else F.struct(F.round(F.log2(F.col("flat") + F.lit(1e-300)), 9).alias("flat"), F.col("steep").alias("steep"))
+    out = [F.max(F.when(F.col("field") == -1, F.col("n"))).alias("n_records")]
+    for i, f in enumerate(rules):
+        won = F.max_by(F.struct("value", "steep", "flat"), F.when(F.col("field") == i, score)).alias(f"_{f}")
+        out.append(won)
+    won = summed.groupBy("group").agg(*out)
+    cols = []
     for f in rules:
-        here = F.col("field") == f
-        out += [
-            F.coalesce(F.max(F.when(here, -F.col("w.best.neg_id"))), F.lit(0).cast("long")).alias(f"{f}_rec"),
-            F.max(F.when(here, F.col("w.value"))).alias(f"{f}_value"),
-            F.max(F.when(here, F.col("w.score"))).alias(f"{f}_votes"),
-        ]
-    return won.groupBy("group").agg(*out)
+        cols += [F.coalesce(-F.col(f"_{f}.steep.neg_id"), F.lit(0).cast("long")).alias(f"{f}_rec"), F.col(f"_{f}.value").alias(f"{f}_value"), F.col(f"_{f}.flat").alias(f"{f}_votes")]
+    return won.select("group", "n_records", *cols)
 
 
 RULES = {"seq_len": FieldRule(1_000, 3_000_000), "no_parts": FieldRule(1, 500)}
