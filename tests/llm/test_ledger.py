@@ -1,9 +1,10 @@
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
-from pairweave.llm.ledger import Ledger, collapse, unordered_key
+from pairweave.llm.ledger import ConcurrentUpdate, Ledger, collapse, unordered_key
 
 
 def keys(spark, rows):
@@ -34,18 +35,64 @@ def test_batches_against_brute_force(spark):
         assert got == {i: (first[k], n[k]) for i, k in plain.items()}
 
 
-def test_ledger_survives_and_leaves_other_buckets_alone(spark, tmp_path):
+def rows_of(spark, *rows):
+    return spark.createDataFrame(list(rows), "key string, id long")
+
+
+def counted(ledger):
+    return {r["key"]: (r["n_copies"], r["first_id"]) for r in ledger.counts().collect()}
+
+
+def test_other_buckets_and_longer_files_stay(spark, tmp_path):
     path = f"file://{tmp_path}/ledger"
     one = Ledger(spark, path, buckets=8)
-    one.update(spark.createDataFrame([("x", 5), ("y", 6), ("x", 7)], "key string, id long"))
-    before = dict(one.manifest)
-    two = Ledger(spark, path, buckets=8)
-    assert two.manifest == before
-    two.update(spark.createDataFrame([("x", 1)], "key string, id long"))
-    changed = {b for b in before if two.manifest[b] != before[b]}
-    assert len(changed) == 1
-    two.update(spark.createDataFrame([], "key string, id long"))
-    assert {r["key"]: (r["n_copies"], r["first_id"]) for r in Ledger(spark, path, buckets=8).counts().collect()} == {"x": (3, 1), "y": (1, 6)}
+    one.update(rows_of(spark, *[(f"k{i}", 100 + i) for i in range(200)]))
+    before = {b: list(f) for b, f in one.files.items()}
+    two = Ledger(spark, path)
+    assert two.buckets == 8 and two.files == one.files
+    two.update(rows_of(spark, ("k7", 1)))
+    changed = [b for b in before if two.files[b] != before[b]]
+    assert len(changed) == 1 and two.files[changed[0]][:1] == before[changed[0]]  # a long file isn't rewritten
+    two.update(rows_of(spark, ("k7", 2)))
+    assert len(two.files[changed[0]]) == 2  # the short ones are joined
+    two.update(rows_of(spark))
+    assert two.number == 3
+    want = {f"k{i}": (1, 100 + i) for i in range(200)} | {"k7": (3, 1)}
+    assert counted(Ledger(spark, path)) == want
+    two.vacuum()
+    assert counted(Ledger(spark, path)) == want
+
+
+def test_crash_before_the_manifest(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/ledger"
+    ledger = Ledger(spark, path)
+    ledger.update(rows_of(spark, ("x", 5), ("y", 6), ("x", 7)))
+    broken = Ledger(spark, path)
+    monkeypatch.setattr(broken, "_commit", lambda files: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        broken.update(rows_of(spark, ("x", 1)))
+    again = Ledger(spark, path)
+    assert counted(again) == {"x": (2, 5), "y": (1, 6)}
+    assert any(name.startswith("v-") for name in again.vacuum())
+    again.update(rows_of(spark, ("x", 1)))
+    assert counted(Ledger(spark, path)) == {"x": (3, 1), "y": (1, 6)}
+
+
+def test_second_writer_is_refused(spark, tmp_path):
+    path = f"file://{tmp_path}/ledger"
+    Ledger(spark, path).update(rows_of(spark, ("x", 5)))
+    one, two = Ledger(spark, path), Ledger(spark, path)
+    one.update(rows_of(spark, ("x", 6)))
+    with pytest.raises(ConcurrentUpdate):
+        two.update(rows_of(spark, ("x", 7)))
+    assert counted(Ledger(spark, path)) == {"x": (2, 5)}
+
+
+def test_one_shuffle_a_side(spark, tmp_path, monkeypatch):
+    ledger = Ledger(spark, f"file://{tmp_path}/ledger", buckets=4)
+    ledger.update(rows_of(spark, *[(f"k{i}", i) for i in range(50)]))
+    plan = ledger._read([f for files in ledger.files.values() for f, _ in files]).join(rows_of(spark).repartition(4, "key"), "key", "full_outer")
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange") == 2
 
 
 def test_empty(spark):
