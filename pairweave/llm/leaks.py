@@ -16,8 +16,11 @@ from pairweave.llm.text import TAG_SQL, WORD, without_markup, words
 from pairweave.runtime import cut
 from pairweave.sources.tables import table
 
-#: Evaluation items are searched for in blocks of so many, which bounds what a task holds of them.
-BLOCK_ITEMS = 20_000
+#: Words of the items that may be names, units or plain; they are broadcast, and more of them are refused.
+LEXICON_WORDS = 5_000_000
+#: Bits of the filter that documents are looked through with, at most (32 MB). Beyond some ten million windows of items
+#: more documents' windows pass it; the join that follows is exact in any case.
+FILTER_BITS = 1 << 28
 #: Windows of a block are broadcast for the join up to so many; beyond, both sides are shuffled.
 BROADCAST_WINDOWS = 200_000
 #: Placeholders can't be words, since words hold letters and digits only.
@@ -72,7 +75,6 @@ class Windows:
         begin = np.cumsum(lengths) - lengths
         codes, unique = pd.factorize(np.array(self.flat, dtype=object)) if self.flat else (np.zeros(0, np.int64), [])
         template = np.array([xxhash.xxh64_intdigest((NUMBER if w.isdigit() else slots.get(w, w)).encode()) for w in unique], np.uint64)
-        self.slotted = np.array([w.isdigit() or w in slots for w in unique], bool)[codes] if len(unique) else np.zeros(0, bool)
         n = max(0, len(self.flat) - width + 1)
         hashed = template[codes] if len(unique) else np.zeros(0, np.uint64)
         rolling = np.zeros(n, np.uint64)
@@ -86,47 +88,73 @@ class Windows:
         self.width = width
 
     def table(self, keep: np.ndarray, ids: pd.Series) -> pd.DataFrame:
-        """Rows ``(id, position, template, words, slots)`` of the windows marked by ``keep``."""
+        """Rows ``(id, position, template, words)`` of the windows marked by ``keep``; the words include the slots'."""
         at = np.nonzero(keep)[0]
-        text, slots = [], []
-        for s in self.start[at].tolist():
-            text.append(" ".join(self.flat[s : s + self.width]))
-            slots.append([self.flat[j] for j in range(s, s + self.width) if self.slotted[j]])
-        return pd.DataFrame({"id": ids.to_numpy()[self.owner[at]], "position": self.position[at], "template": self.hash[at], "words": text, "slots": slots})
+        text = [" ".join(self.flat[s : s + self.width]) for s in self.start[at].tolist()]
+        return pd.DataFrame({"id": ids.to_numpy()[self.owner[at]], "position": self.position[at], "template": self.hash[at], "words": text})
 
 
-_WINDOW = "id long, position long, template long, words string, slots array<string>"
+_WINDOW = "id long, position long, template long, words string"
 
 
-def _windows(texts: DataFrame, width: int, slots: dict[str, str], wanted: np.ndarray | None) -> DataFrame:
-    """Windows of ``texts(id, text)``, only those whose template is in the sorted array ``wanted`` if one is given."""
+def _slots_of(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The bit of a filter of ``bits`` (a power of two) that stands for each hash."""
+    return (hashes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - bits.bit_length())
+
+
+class HashFilter:
+    """A set of hashes as one bit each: says yes to all of them, and to some others."""
+
+    def __init__(self, words: np.ndarray, bits: int):
+        self.words, self.bits = words, bits
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        at = _slots_of(hashes, self.bits)
+        return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
+def hash_filter(rows: DataFrame, column: str, *, most_bits: int = FILTER_BITS) -> HashFilter:
+    """The filter of a long column: sixteen bits or more per row up to ``most_bits``, set by the tasks that hold the
+    rows and gathered as words of 64."""
+    bits = min(most_bits, max(1 << 10, 1 << (16 * max(1, rows.count())).bit_length()))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            at = np.unique(_slots_of(batch[column].to_numpy(np.int64), bits))
+            word = (at >> np.uint64(6)).astype(np.int64)
+            starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.zeros(0, np.int64)
+            masks = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), starts) if len(word) else np.zeros(0, np.uint64)
+            yield pd.DataFrame({"word": word[starts], "mask": masks.view(np.int64)})
+
+    words = np.zeros(max(1, bits >> 6), np.uint64)
+    found = rows.select(column).mapInPandas(run, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()  # bits / 64 rows at most
+    words[found["word"].to_numpy(np.int64)] = found["mask"].to_numpy(np.int64).view(np.uint64)
+    return HashFilter(words, bits)
+
+
+def _vocabulary(rows: DataFrame) -> list:
+    """All rows of a table of words of the items, which must be within :data:`LEXICON_WORDS`."""
+    found = rows.limit(LEXICON_WORDS + 1).collect()
+    if len(found) > LEXICON_WORDS:
+        raise ValueError(f"the items have more than {LEXICON_WORDS} different words; look for them in parts")
+    return found
+
+
+def _windows(texts: DataFrame, width: int, slots: dict[str, str], wanted: HashFilter | None) -> DataFrame:
+    """Windows of ``texts(id, text)``, only those whose template passes the filter if one is given."""
     spark = texts.sparkSession
     known, targets = spark.sparkContext.broadcast(slots), spark.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = Windows(batch["text"], width, known.value)
-            keep = np.ones(len(found.hash), bool)
-            if targets.value is not None:
-                at = np.minimum(np.searchsorted(targets.value, found.hash), len(targets.value) - 1)
-                keep = targets.value[at] == found.hash if len(targets.value) else np.zeros(len(found.hash), bool)
+            keep = np.ones(len(found.hash), bool) if targets.value is None else targets.value(found.hash)
             if keep.any():
                 yield found.table(keep, batch["id"])
 
     return texts.select("id", "text").mapInPandas(run, _WINDOW)
 
 
-def _blocks(items: DataFrame, size: int) -> list[DataFrame]:
-    """Items in blocks of at most ``size``; the number of blocks is all that the driver learns."""
-    n = items.count()
-    if n <= size:
-        return [items] if n else []
-    from pairweave.operators.assign import with_position
-
-    placed = cut(with_position(items, [F.asc("id")], "_k"))
-    return [placed.filter(F.col("_k").between(b, b + size - 1)).drop("_k") for b in range(0, n, size)]
-
-
 def parts(text: str | None) -> list[str]:
     """Lower-case words and numbers of the text without its markup; see ``_PARTS``."""
     return _PARTS.findall(without_markup(text).lower()) if isinstance(text, str) else []
@@ -173,7 +201,7 @@ def _patterns(items: DataFrame, width: int, slots: dict[str, str]) -> DataFrame:
     return items.select("id", "text").mapInPandas(run, _PATTERN)
 
 
-def _places(documents: DataFrame, width: int, slots: dict[str, str], plain: set[str], short: np.ndarray, whole: np.ndarray) -> DataFrame:
+def _places(documents: DataFrame, width: int, slots: dict[str, str], plain: set[str], short: HashFilter, whole: HashFilter | None) -> DataFrame:
     """Where anchors stand in ``documents(id, text)``, with the words around that a window can reach.
 
     For anchors that are whole patterns, words of ``slots`` and words that no item uses (not in ``plain``) are slots.
@@ -193,89 +221,81 @@ def _places(documents: DataFrame, width: int, slots: dict[str, str], plain: set[
                     continue
                 typed = [NUMBER if w[0].isdigit() else w for w in found]
                 hashed = _run_hashes(_codes(typed, known), ANCHOR)
-                for q in np.flatnonzero(np.isin(hashed, short)).tolist():
+                for q in np.flatnonzero(short(hashed)).tolist():
                     a = max(0, q - width + ANCHOR)
                     rows.append((ident, q, int(hashed[q]), q - a, True, found[a : q + width]))
-                if len(whole):
+                if whole is not None:
                     hashed = _run_hashes(_codes([w if w == NUMBER or w in plain and w not in slots else SLOT for w in typed], known), width)
-                    for q in np.flatnonzero(np.isin(hashed, whole)).tolist():
+                    for q in np.flatnonzero(whole(hashed)).tolist():
                         rows.append((ident, q, int(hashed[q]), 0, False, found[q : q + width]))
             yield pd.DataFrame(rows, columns=["doc_id", "at", "anchor", "lead", "anchored", "around"])
 
     return documents.select("id", "text").mapInPandas(run, "doc_id long, at long, anchor long, lead int, anchored boolean, around array<string>")
 
 
-def retold_windows(documents: DataFrame, items: DataFrame, width: int, *, block_items: int = BLOCK_ITEMS) -> DataFrame:
+_FOUND = "doc_id long, item_id long, doc_position long, item_position long, same boolean"
+
+
+def retold_windows(documents: DataFrame, items: DataFrame, width: int, *, filter_bits: int = FILTER_BITS) -> DataFrame:
     """Windows of ``width`` words of items that documents tell with any other numbers, names or units.
 
     Names and units are those of :func:`slot_lexicon` over all items. In a document any word may stand in their place,
     known to the items or not, and in any case. Numbers stand for numbers. Equal words on one side must be equal words
-    on the other. Documents are looked through for runs of :data:`ANCHOR` words of the item without a name or unit; a
-    window without such a run needs, in place of names and units, names and units of the items or words that no item
+    on the other. Documents are looked through once, for runs of :data:`ANCHOR` words of an item without a name or unit;
+    a window without such a run needs, in place of names and units, names and units of the items or words that no item
     has. Result as of :func:`shared_windows`; positions count numbers, and units glued to them, as words.
     """
-    out = None
     items = items.select("id", "text")
-    slots = {r["word"]: r["slot"] for r in slot_lexicon(items).collect()}  # bounded by the vocabulary of the items
-    plain: set[str] | None = None
-    for block in _blocks(items, block_items):
-        there = cut(_patterns(block, width, slots))
-        anchors = [(r["anchor"], r["anchored"]) for r in there.select("anchor", "anchored").distinct().collect()]  # bounded by the block
-        short, whole = (np.array(sorted(a for a, b in anchors if b == kind), np.int64) for kind in (True, False))
-        if len(whole) and plain is None:
-            used = items.select("text").mapInPandas(lambda batches: (pd.DataFrame({"w": sorted({w for t in b["text"] for w in parts(t)})}, dtype=object) for b in batches), "w string")
-            plain = {r["w"] for r in used.distinct().collect()}  # bounded by the vocabulary of the items
-        here = _places(documents, width, slots, plain or set(), short, whole)
-        if there.count() <= BROADCAST_RETOLD:
-            there = F.broadcast(there)
-        begin = F.col("lead") - F.col("offset")
-        met = here.join(there, ["anchor", "anchored"]).filter((begin >= 0) & (begin + width <= F.size("around")))
-        met = met.select("doc_id", "item_id", (F.col("at") - F.col("offset")).alias("doc_position"), "item_position", F.slice("around", F.greatest(begin, F.lit(0)) + 1, F.lit(width)).alias("told"), "item", "pattern")
-        number = lambda w: w.rlike(r"^\p{Nd}")
-        fits = F.zip_with("told", "pattern", lambda w, p: F.when(p == SLOT, ~number(w)).when(p == NUMBER, number(w)).otherwise(w == p))
-        met = met.filter(F.forall(fits, lambda x: x))
-        filled = F.filter(F.arrays_zip("told", "item", "pattern"), lambda z: z["pattern"].isin(SLOT, NUMBER))
-        pairs = F.array_distinct(F.transform(filled, lambda z: F.struct(z["told"].alias("d"), z["item"].alias("i"))))
-        met = met.withColumn("pairs", pairs)
-        one_to_one = (F.size(F.array_distinct(F.col("pairs.d"))) == F.size("pairs")) & (F.size(F.array_distinct(F.col("pairs.i"))) == F.size("pairs"))
-        met = met.filter(one_to_one).select("doc_id", "item_id", "doc_position", "item_position", (F.col("told") == F.col("item")).alias("same"))
-        out = met if out is None else out.unionByName(met)
-    if out is None:
-        return documents.sparkSession.createDataFrame([], "doc_id long, item_id long, doc_position long, item_position long, same boolean")
-    return out
-
-
-def shared_windows(documents: DataFrame, items: DataFrame, width: int, *, exact: bool, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    slots = {r["word"]: r["slot"] for r in _vocabulary(slot_lexicon(items))}
+    there = cut(_patterns(items, width, slots))
+    n_windows = there.count()
+    if not n_windows:
+        return documents.sparkSession.createDataFrame([], _FOUND)
+    short, bare = hash_filter(there.filter("anchored"), "anchor", most_bits=filter_bits), there.filter("not anchored")
+    whole, plain = None, set()
+    if bare.take(1):
+        whole = hash_filter(bare, "anchor", most_bits=filter_bits)
+        used = items.select("text").mapInPandas(lambda batches: (pd.DataFrame({"w": sorted({w for t in b["text"] for w in parts(t)})}, dtype=object) for b in batches), "w string")
+        plain = {r["w"] for r in _vocabulary(used.distinct())}
+    here = _places(documents, width, slots, plain, short, whole)
+    met = here.join(F.broadcast(there) if n_windows <= BROADCAST_RETOLD else there, ["anchor", "anchored"])
+    begin = F.col("lead") - F.col("offset")
+    met = met.filter((begin >= 0) & (begin + width <= F.size("around")))
+    met = met.select("doc_id", "item_id", (F.col("at") - F.col("offset")).alias("doc_position"), "item_position", F.slice("around", F.greatest(begin, F.lit(0)) + 1, F.lit(width)).alias("told"), "item", "pattern")
+    number = lambda w: w.rlike(r"^\p{Nd}")
+    fits = F.zip_with("told", "pattern", lambda w, p: F.when(p == SLOT, ~number(w)).when(p == NUMBER, number(w)).otherwise(w == p))
+    met = met.filter(F.forall(fits, lambda x: x))
+    filled = F.filter(F.arrays_zip("told", "item", "pattern"), lambda z: z["pattern"].isin(SLOT, NUMBER))
+    pairs = F.array_distinct(F.transform(filled, lambda z: F.struct(z["told"].alias("d"), z["item"].alias("i"))))
+    met = met.withColumn("pairs", pairs)
+    one_to_one = (F.size(F.array_distinct(F.col("pairs.d"))) == F.size("pairs")) & (F.size(F.array_distinct(F.col("pairs.i"))) == F.size("pairs"))
+    return met.filter(one_to_one).select("doc_id", "item_id", "doc_position", "item_position", (F.col("told") == F.col("item")).alias("same"))
+
+
+def shared_windows(documents: DataFrame, items: DataFrame, width: int, *, exact: bool, filter_bits: int = FILTER_BITS) -> DataFrame:
     """Pairs of windows of ``width`` words with equal templates whose slots are consistent.
 
     ``documents(id, text)`` and ``items(id, text)`` have unique ids. Numbers, names and units of the words become
-    typed placeholders; windows of both sides meet on the hash of their template. With ``exact`` the slots must hold
-    the same words (so must all other words, which also rules out hash collisions). Otherwise slots are consistent
-    if equal words on one side are equal words on the other, so an item told again with other numbers and names is
-    found as well; see :func:`retold_windows`.
+    typed placeholders, by one lexicon over all items; windows of both sides meet on the hash of their template. With
+    ``exact`` the slots must hold the same words (so must all other words, which also rules out hash collisions).
+    Otherwise slots are consistent if equal words on one side are equal words on the other, so an item told again with
+    other numbers and names is found as well; see :func:`retold_windows`.
+
+    Documents are read once, however many items there are: a filter of bounded size (:func:`hash_filter`) drops most of
+    their windows where they are made, and the rest meet the items' windows in a join, which is a broadcast one only for
+    a counted small number of these.
 
     Result: ``(doc_id, item_id, doc_position, item_position, same)``. Null, empty and short texts have no window.
     """
     if not exact:
-        return retold_windows(documents, items, width, block_items=block_items)
-    out = None
-    for block in _blocks(items.select("id", "text"), block_items):
-        block = cut(block)
-        slots = {r["word"]: r["slot"] for r in slot_lexicon(block).collect()}  # bounded by the block
-        there = cut(_windows(block, width, slots, None))
-        wanted = np.array(sorted(r["template"] for r in there.select("template").distinct().collect()), np.int64)  # bounded by the block
-        here = _windows(documents, width, slots, wanted)
-        here = here.select(F.col("id").alias("doc_id"), F.col("position").alias("doc_position"), "template", "words", F.col("slots").alias("doc_slots"))
-        there = there.select(F.col("id").alias("item_id"), F.col("position").alias("item_position"), "template", F.col("words").alias("item_words"), F.col("slots").alias("item_slots"))
-        if there.count() <= BROADCAST_WINDOWS:
-            there = F.broadcast(there)
-        same = F.col("words") == F.col("item_words")
-        met = here.join(there, (here["template"] == there["template"]) & same)
-        met = met.select("doc_id", "item_id", "doc_position", "item_position", same.alias("same"))
-        out = met if out is None else out.unionByName(met)
-    if out is None:
-        return documents.sparkSession.createDataFrame([], "doc_id long, item_id long, doc_position long, item_position long, same boolean")
-    return out
+        return retold_windows(documents, items, width, filter_bits=filter_bits)
+    items = items.select("id", "text")
+    slots = {r["word"]: r["slot"] for r in _vocabulary(slot_lexicon(items))}
+    there = cut(_windows(items, width, slots, None).select(F.col("id").alias("item_id"), F.col("position").alias("item_position"), "template", "words"))
+    here = _windows(documents, width, slots, hash_filter(there, "template", most_bits=filter_bits))
+    here = here.select(F.col("id").alias("doc_id"), F.col("position").alias("doc_position"), "template", "words")
+    met = here.join(F.broadcast(there) if there.count() <= BROADCAST_WINDOWS else there, ["template", "words"])
+    return met.select("doc_id", "item_id", "doc_position", "item_position", F.lit(True).alias("same"))
 
 
 def _texts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:

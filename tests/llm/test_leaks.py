@@ -1,6 +1,8 @@
 import random
 
-from pairweave.llm.leaks import NAME, UNIT, shared_windows, slot_lexicon
+import numpy as np
+
+from pairweave.llm.leaks import NAME, UNIT, hash_filter, shared_windows, slot_lexicon
 from pairweave.llm.text import words
 
 NAMES, UNITS, GOODS = ["Urid", "Tamsen", "Zorin", "Quilo"], ["tubs", "casks", "bales"], ["clay", "salt", "tin"]
@@ -43,8 +45,8 @@ def test_exact_windows(spark):
     docs, items = corpus()
     for n in (5, 13):
         want = brute(docs, items, n)
-        for block in (7, 1000):
-            got = {(r["doc_id"], r["item_id"]) for r in shared_windows(*frames(spark, docs, items), n, exact=True, block_items=block).collect()}
+        for bits in (1 << 10, 1 << 28):  # a full filter lets everything through to the join
+            got = {(r["doc_id"], r["item_id"]) for r in shared_windows(*frames(spark, docs, items), n, exact=True, filter_bits=bits).collect()}
             assert got == want
 
 
@@ -75,11 +77,36 @@ def test_retold_with_words_no_item_has(spark):
     text = " ".join(swap.get(w.strip(",.?"), w) if not w.isdigit() else w + ".5" for w in items[3][1].split(" "))
     glued = text.replace(".5 ", ".5")
     docs = [(1, text), (2, text.lower()), (3, glued), (4, text.replace("courier", "smith").replace("goes", "went").replace("lost", "sold"))]
-    for block in (7, 1000):
-        got = {r["doc_id"] for r in shared_windows(*frames(spark, docs, items), 24, exact=False, block_items=block).filter("item_id = 3").collect()}
+    for bits in (1 << 10, 1 << 28):
+        got = {r["doc_id"] for r in shared_windows(*frames(spark, docs, items), 24, exact=False, filter_bits=bits).filter("item_id = 3").collect()}
         assert got == {1, 2, 3}
 
 
+def test_recall_of_retold_items(spark):
+    """Every item told again with names, numbers and units of its own, in a text of other words."""
+    rng = random.Random(9)
+    items = [(i, item(random.Random(i))) for i in range(40)]
+    docs = []
+    for i, text in items:
+        fresh = {w: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(3)) for w in NAMES + UNITS}
+        told = " ".join(fresh.get(w.strip(",.?"), w) if not w.isdigit() else str(rng.randint(100, 999)) for w in text.split(" "))
+        docs.append((i, "as heard in town " + told + " or so they say"))
+    docs += [(1000 + i, " ".join(rng.choice("the of by night to are lost on way half it goes who owes near old".split()) for _ in range(200))) for i in range(40)]
+    got = {(r["doc_id"], r["item_id"]) for r in shared_windows(*frames(spark, docs, items), 24, exact=False).collect()}
+    assert sum((i, i) in got for i, _ in items) >= 0.9 * len(items)
+    assert not any(d >= 1000 for d, _ in got)
+
+
+def test_filter_says_yes_to_all_its_hashes(spark):
+    rng = random.Random(2)
+    some, others = ([rng.randrange(-(1 << 63), 1 << 63) for _ in range(5_000)] for _ in range(2))
+    rows = spark.createDataFrame([(x,) for x in some], "h long")
+    for bits in (1 << 12, 1 << 28):
+        passes = hash_filter(rows, "h", most_bits=bits)
+        assert passes(np.array(some, np.int64)).all()
+    assert passes(np.array(others, np.int64)).mean() < 0.1
+
+
 def test_retold_without_four_plain_words(spark):
     one = "then Urid met Tamsen and Zorin saw Quilo but Urid hit Zorin"
     items = [(9, one), (8, "while Urid , Tamsen , Zorin , Quilo")]
