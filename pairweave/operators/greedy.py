@@ -13,17 +13,19 @@ from pyspark.sql import functions as F
 
 from pairweave.operators.edges import degrees
 from pairweave.operators.rounds import SMALL_GRAPH
-from pairweave.runtime import cut, materialised
+from pairweave.operators.skew import heavy_split_join, label_ends
+from pairweave.runtime import cut, derived, materialised
 
 
 def keyed_arcs(edges: DataFrame, vertices: DataFrame, key: str) -> DataFrame:
     """Directed entries ``(src, dst, ks, kd, ...)`` with the processing keys of both ends."""
-    ks = vertices.select(F.col("id").alias("src"), F.col(key).alias("ks"))
-    kd = vertices.select(F.col("id").alias("dst"), F.col(key).alias("kd"))
+    edges = materialised(edges)
+    labels = cut(vertices.select("id", F.col(key).alias("c")).join(degrees(edges), "id"))
     rest = [c for c in edges.columns if c not in ("src", "dst")]
-    there = F.struct("src", "dst", "ks", "kd")
-    back = F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("kd").alias("ks"), F.col("ks").alias("kd"))
-    return edges.join(ks, "src").join(kd, "dst").select(F.explode(F.array(there, back)).alias("_e"), *rest).select("_e.*", *rest)
+    keyed = label_ends(edges, labels, 2 * edges.count())
+    there = F.struct("src", "dst", F.col("a").alias("ks"), F.col("b").alias("kd"))
+    back = F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("b").alias("ks"), F.col("a").alias("kd"))
+    return keyed.select(F.explode(F.array(there, back)).alias("_e"), *rest).select("_e.*", *rest)
 
 
 def _scan(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -59,14 +61,15 @@ def first_independent_set(arcs: DataFrame, small_graph: int = SMALL_GRAPH) -> Da
             ranked = arcs.select("src", rank.over(Window.orderBy("ks")).alias("rs"), "kd").select("src", "rs", rank.over(Window.orderBy("kd")).alias("rd"))
             found.append(ranked.groupBy(F.lit(0).alias("_all")).applyInPandas(lambda pdf: _scan(pdf), f"id {arcs.schema['src'].dataType.simpleString()}"))
             break
-        best = arcs.groupBy("src").agg(F.min("kd").alias("low"), F.first("ks").alias("ks"))
-        seeds = cut(best.filter(F.col("ks") < F.col("low")).select(F.col("src").alias("id")))
-        ruled_out = arcs.join(seeds.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-        gone = cut(seeds.unionByName(ruled_out))
-        rest = arcs.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
-        rest = cut(rest)
+        best = cut(arcs.groupBy(F.col("src").alias("id")).agg(F.min("kd").alias("low"), F.first("ks").alias("ks"), F.count(F.lit(1)).alias("degree")))
+        first = derived(best, F.col("id").alias("src"), (F.col("ks") < F.col("low")).alias("seed"), "degree")
+        seeds = best.filter(F.col("ks") < F.col("low")).select("id")
+        ruled_out = heavy_split_join(arcs, first, "src", "degree", n).filter("seed").select(F.col("dst").alias("id")).distinct()
+        gone = seeds.unionByName(ruled_out).withColumn("gone", F.lit(True))
+        live = cut(best.select("id", "degree").join(gone, "id", "left").select("id", "degree", F.col("gone").isNull().alias("c")))
+        rest = cut(label_ends(arcs, live, n).filter("a and b").select("src", "dst", "ks", "kd"))
         # a live vertex that has lost its last live neighbour is a seed, too
-        bare = best.select(F.col("src").alias("id")).join(gone, "id", "left_anti").join(rest.select(F.col("src").alias("id")).distinct(), "id", "left_anti")
+        bare = live.filter("c").select("id").join(rest.select(F.col("src").alias("id")).distinct(), "id", "left_anti")
         found += [seeds, cut(bare)]
         arcs = rest
     if not found:
@@ -82,7 +85,9 @@ def _attached(arcs: DataFrame, vertices: DataFrame, key: str, choose, small_grap
     arcs = cut(arcs)
     seeds = cut(first_independent_set(arcs, small_graph).withColumn("_seed", F.lit(True)))
     marked = vertices.select("id", F.col(key).alias("own")).join(seeds, "id", "left")
-    joined = arcs.join(seeds.select(F.col("id").alias("dst")), "dst", "left_semi").filter(F.col("kd") < F.col("ks"))
+    degree = arcs.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
+    ends = seeds.join(degree, "id").select(F.col("id").alias("dst"), "degree")
+    joined = heavy_split_join(arcs, ends, "dst", "degree", arcs.count()).filter(F.col("kd") < F.col("ks"))
     picks = joined.groupBy(F.col("src").alias("id")).agg(F.min_by("kd", choose).alias("joined"))
     return marked.join(picks, "id", "left").select("id", F.when(F.col("_seed"), F.col("own")).otherwise(F.coalesce("joined", "own")).alias("cluster_key"))
 
@@ -97,8 +102,10 @@ def closest_seed(edges: DataFrame, vertices: DataFrame, small_graph: int = SMALL
     """As the greedy incremental method, but an object joins the closest seed before it; ties go to the seed that
     appeared first, whatever the processing order."""
     arcs = keyed_arcs(edges.select("src", "dst", "d"), vertices, "proc_key")
-    appeared = vertices.select(F.col("id").alias("dst"), "appear_key")
-    return _attached(arcs.join(appeared, "dst"), vertices, "proc_key", F.struct("d", "appear_key"), small_graph)
+    arcs = cut(arcs)
+    degree = arcs.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
+    appeared = vertices.join(degree, "id").select(F.col("id").alias("dst"), "appear_key", "degree")
+    return _attached(heavy_split_join(arcs, appeared, "dst", "degree", arcs.count()), vertices, "proc_key", F.struct("d", "appear_key"), small_graph)
 
 
 def set_cover(edges: DataFrame, vertices: DataFrame, small_graph: int = SMALL_GRAPH) -> DataFrame:

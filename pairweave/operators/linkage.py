@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from pairweave.operators.assign import with_position
 from pairweave.operators.components import connected_components
+from pairweave.operators.edges import degrees
 from pairweave.operators.rounds import SMALL_GRAPH, follow_to_roots, is_empty, per_component
+from pairweave.operators.skew import label_ends
 from pairweave.runtime import cut, materialised
 
 #: Cells that one task holds at most; larger components are solved level by level.
@@ -236,8 +238,8 @@ def complete_linkage(edges: DataFrame, vertices: DataFrame, *, component_edges:
     """
     edges = materialised(edges)
     ranked = cut(with_position(vertices.select("id", "appear_key"), [F.asc("appear_key")], "rank").select("id", "rank"))
-    ends_a, ends_b = ranked.select(F.col("id").alias("src"), F.col("rank").alias("ra")), ranked.select(F.col("id").alias("dst"), F.col("rank").alias("rb"))
-    cells = edges.join(ends_a, "src").join(ends_b, "dst").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "d")
+    labels = cut(ranked.select("id", F.col("rank").alias("c")).join(degrees(edges), "id"))
+    cells = label_ends(edges, labels, 2 * edges.count()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d")
     merged = linkage_levels(cells, component_edges=component_edges, small_graph=small_graph).select(F.col("node").alias("rank"), "key")
     key = F.coalesce("key", F.array(F.lit(0.0), F.col("rank").cast("double")))
     # ages never begin like one another, so signs reverse their order; adding zero folds the two zeros

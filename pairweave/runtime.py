@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints.
+    """The shared folder for checkpoints, which are removed once nothing refers to them unless the session says
+    otherwise, so a loop holds the files of its last rounds only.
 
     A cluster names it in ``spark.checkpoint.dir``. Only a local master, as in tests, gets a folder of its own;
     elsewhere a missing setting is an error, since executors can't share a machine's temporary folder.
     """
     sc = spark.sparkContext
+    sc._jsc.sc().conf().setIfMissing("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     current = sc.getCheckpointDir()
     if current:
         return current
