@@ -86,6 +86,15 @@ ORACLE = {
     + """select line_id, try_cast(trim(v[1]) as bigint) as idx1, try_cast(trim(v[2]) as bigint) as idx2, trim(v[3]) as id1, trim(v[4]) as id2,
   try_cast(trim(v[5]) as double) as tani, try_cast(trim(v[6]) as double) as gani, try_cast(trim(v[7]) as double) as ani, try_cast(trim(v[8]) as double) as cov,
   try_cast(trim(v[9]) as bigint) as num_alns, try_cast(trim(v[10]) as double) as len_ratio from judged where reason is null""",
+    # a line breaks where the longest beginning that could still go on ends
+    "p5_offsets": _LINES
+    + r""", ends as (select line_id, strlen(case when sep = ','
+    then regexp_extract(raw, '^(?s)(?:(?:[ \t]*"(?:[^"]|"")*"[ \t]*|[^",]*),)*(?:[ \t]*"(?:[^"]|"")*(?:"[ \t]*)?|[^",]*)')
+    else regexp_extract(raw, '^(?s)(?:(?: *"(?:[^"]|"")*" *|[^"\t]*)\t)*(?: *"(?:[^"]|"")*(?:" *)?|[^"\t]*)') end) as broken from shaped
+), fine as (select line_id, coalesce(regexp_full_match(trim(v[7], ' ' || chr(9)), '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?') and try_cast(trim(v[7], ' ' || chr(9)) as double) between 0 and 1, false) as ani from valued
+), places as (select reason, case reason when 'quoting' then broken when 'value' then strlen(array_to_string(f[1:case when ani then 7 else 6 end], '.')) + 1 end as broke
+  from judged join ends using (line_id) join fine using (line_id) join cut using (line_id) where reason is not null)
+select reason, count(*) as n_lines, round(avg(broke), 3) as mean_offset from places group by 1""",
     "p7_found": "select id1 as object from toy_ani where id1 is not null group by 1 having count(*) >= 0.02 * (select count(*) from toy_ani)",
     "p7_profile": """
 with good as (select id1, id2, max(ani) as ani from toy_ani where not isnan(ani) and ani between 0 and 1 and id1 <> id2 group by 1, 2),
