@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pairweave.operators.skew import heavy_split_join
 from pairweave.runtime import cut
 from pairweave.sources.tables import table
 
@@ -90,11 +91,11 @@ def mixture(documents: DataFrame, targets: DataFrame, *, total_tokens: int | Non
     sized = cut(token_counts(documents.filter("source is not null"), tokenizers=tokenizers).filter("n_tokens > 0"))
     plan = cut(budgets(sized.groupBy("source").agg(F.sum("n_tokens").alias("available")), targets, total_tokens))
     allowed = plan.filter("budget > 0").select(
-        "source", F.floor(F.col("budget") / F.col("available")).cast("int").alias("epochs"), (F.col("budget") % F.col("available")).alias("rest")
+        "source", F.floor(F.col("budget") / F.col("available")).cast("int").alias("epochs"), (F.col("budget") % F.col("available")).alias("rest"), "available"
     )
-    # as many rows as sources are listed
+    total = plan.agg(F.coalesce(F.sum("available"), F.lit(0)).alias("n")).first()["n"]
     u = (F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    keyed = sized.join(allowed, "source").withColumn("draw", -F.log(u) / F.greatest(F.coalesce("quality", F.lit(0.1)), F.lit(1e-6)))
+    keyed = heavy_split_join(sized, allowed, "source", "available", total).withColumn("draw", -F.log(u) / F.greatest(F.coalesce("quality", F.lit(0.1)), F.lit(1e-6)))
     n = int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = cut(keyed.repartitionByRange(n, "source", "draw", "id").withColumn("part", F.spark_partition_id()))
     sums = ranged.groupBy("source", "part").agg(F.sum("n_tokens").alias("tokens"))
@@ -135,5 +136,25 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mixed(spark, folder)[1]
 
 
-QUERIES = {"p9_documents": p9_documents, "p9_shares": p9_shares}
-ORACLE: dict[str, str] = {}
+def p9_holds(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of every listed source, from the documents taken: none is repeated more than allowed or in
+    several rows, the tokens taken are within the budget, and the budget is missed by less than a document."""
+    taken, report = _mixed(spark, folder)
+    per = taken.groupBy("source").agg(
+        F.max("repeats").alias("most"), F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("n_ids"), F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.max("n_tokens").alias("longest")
+    )
+    whole = token_counts(table(spark, folder, "documents", "doc_id", "source", "text").select(F.col("doc_id").alias("id"), "source", "text", F.lit(1.0).alias("quality"))).groupBy("source").agg(F.max("n_tokens").alias("longest_of_all"))
+    out = report.select("source", "target_share", "max_repeats", "budget").join(per, "source", "left").join(whole, "source", "left")
+    tokens = F.coalesce("tokens", F.lit(0))
+    return out.select(
+        "source",
+        "target_share",
+        "max_repeats",
+        F.coalesce((F.col("most") <= F.col("max_repeats")) & (F.col("n") == F.col("n_ids")), F.lit(True)).alias("repeats_hold"),
+        (tokens <= F.col("budget")).alias("within_budget"),
+        ((F.col("budget") == 0) | (F.col("budget") - tokens < F.col("longest_of_all"))).alias("near_budget"),
+    )
+
+
+QUERIES = {"p9_documents": p9_documents, "p9_shares": p9_shares, "p9_holds": p9_holds}
+ORACLE = {"p9_holds": "select source, target_share, max_repeats, true as repeats_hold, true as within_budget, true as near_budget from mix_targets where source is not null"}

@@ -15,6 +15,8 @@ from pairweave.sources.tables import table
 DIMENSIONS = 128
 #: Cosine from which centroids that similar records link become one cluster.
 CLOSE = 0.65
+#: Vectors are broadcast for a join up to so many counted ones (some 5 MB).
+SMALL_SIDE = 5_000
 
 
 def hashed_vectors(arcs: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
@@ -93,10 +95,11 @@ def merge_centroids(arcs: DataFrame, vectors: DataFrame, state: DataFrame, n_arc
     merged = None
     while True:
         links = label_ends(arcs.select("src", "dst"), state, n_arcs).filter("a < b").select("a", "b").distinct()
-        weights = state.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+        weights = state.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.sum("degree").alias("arcs"))
         sums = cut(_sums(vectors, state, dimensions).join(weights, "c"))
-        ends = [sums.select(F.col("c").alias(x), F.struct((-F.col("n")).alias("neg"), F.col("c").alias("c")).alias(f"k{x}"), F.col("y").alias(f"y{x}"), F.col("norm").alias(f"n{x}")) for x in "ab"]
-        cos = links.join(ends[0], "a").join(ends[1], "b").select("ka", "kb", F.round(_dot(F.col("ya"), F.col("yb")) / (F.col("na") * F.col("nb")), 9).alias("cos"))
+        ends = [derived(sums, F.col("c").alias(x), F.struct((-F.col("n")).alias("neg"), F.col("c").alias("c")).alias(f"k{x}"), F.col("y").alias(f"y{x}"), F.col("norm").alias(f"n{x}"), "arcs") for x in "ab"]
+        rated = heavy_split_join(heavy_split_join(links, ends[0], "a", "arcs", n_arcs, small_side=SMALL_SIDE), ends[1], "b", "arcs", n_arcs, small_side=SMALL_SIDE)
+        cos = rated.select("ka", "kb", F.round(_dot(F.col("ya"), F.col("yb")) / (F.col("na") * F.col("nb")), 9).alias("cos"))
         there, back = F.struct(F.col("ka").alias("k"), F.col("kb").alias("of")), F.struct(F.col("kb").alias("k"), F.col("ka").alias("of"))
         close_ones = cut(cos.select("cos", F.explode(F.array(there, back)).alias("_e")).select("cos", "_e.*")).filter(F.col("cos") >= close)
         heads = close_ones.groupBy("k").agg(F.min("of").alias("of")).filter("k < of").select(F.col("k").alias("of"))
@@ -118,10 +121,10 @@ def reassign(arcs: DataFrame, vectors: DataFrame, state: DataFrame, n_arcs: int,
     other = cut(other)
     if is_empty(other):
         return None
-    weights = state.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
-    sums = _sums(vectors, state, dimensions).join(weights, "c").withColumnsRenamed({"c": "b", "norm": "length"})
+    weights = state.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.sum("degree").alias("arcs"))
+    sums = cut(_sums(vectors, state, dimensions).join(weights, "c").withColumnsRenamed({"c": "b", "norm": "length"}))
     asked = other.select("id", "own", "b").unionByName(other.select("id", "own", F.col("own").alias("b")).distinct())
-    rated = asked.join(sums, "b").filter((F.col("n") > 1) | (F.col("own") == F.col("b"))).join(vectors.select("id", "x", "norm"), "id")
+    rated = heavy_split_join(asked, sums, "b", "arcs", n_arcs, small_side=SMALL_SIDE).filter((F.col("n") > 1) | (F.col("own") == F.col("b"))).join(vectors.select("id", "x", "norm"), "id")
     rated = cut(rated.select("id", "own", "b", "length", (_dot(F.col("x"), F.col("y")) / F.col("norm")).alias("along")))
     left = F.sqrt(F.greatest(F.lit(0.0), F.col("length") * F.col("length") - 2 * F.col("along") + 1))
     own = F.when(left > 1e-6, (F.col("along") - 1) / left).otherwise(0.0)
@@ -141,8 +144,9 @@ def k_means(arcs: DataFrame, vectors: DataFrame, *, iterations: int = 20, close:
     so only centroids of similar records are ever candidates, and work grows with the pairs.
     """
     n_arcs = arcs.count()
-    x, y = (vectors.select(F.col("id").alias(end), F.col("x").alias(f"x_{end}"), F.col("norm").alias(f"n_{end}")) for end in ("src", "dst"))
-    likeness = arcs.join(x, "src").join(y, "dst").select("src", "dst", (_dot(F.col("x_src"), F.col("x_dst")) / (F.col("n_src") * F.col("n_dst"))).alias("cos"))
+    x, y = (derived(vectors, F.col("id").alias(end), F.col("x").alias(f"x_{end}"), F.col("norm").alias(f"n_{end}"), "degree") for end in ("src", "dst"))
+    ends = heavy_split_join(heavy_split_join(arcs, x, "src", "degree", n_arcs, small_side=SMALL_SIDE), y, "dst", "degree", n_arcs, small_side=SMALL_SIDE)
+    likeness = ends.select("src", "dst", (_dot(F.col("x_src"), F.col("x_dst")) / (F.col("n_src") * F.col("n_dst"))).alias("cos"))
     likeness = cut(likeness.unionByName(vectors.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("cos"))))
     state = seeded(vectors, likeness, close=close, seed=seed)
     for turn in range(iterations):
