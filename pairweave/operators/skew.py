@@ -17,18 +17,18 @@ HEAVY_SHARE = 2_000
 SMALL_SIDE = 50_000
 
 
-def heavy_split_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, *, how: str = "inner", share: int = HEAVY_SHARE, small_side: int = SMALL_SIDE) -> DataFrame:
+def heavy_split_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, *, how: str = "inner", share: int = HEAVY_SHARE, small_side: int = SMALL_SIDE, rows: int | None = None) -> DataFrame:
     """Join ``left`` with ``right``, whose keys are unique, without sending a heavy key's rows to one task.
 
     ``right[weight]`` counts the rows of ``left`` per key and ``total`` all of them. At most ``share`` keys can hold
     a ``1/share`` of the rows each; their rows of ``right`` are broadcast, all others meet in a shuffled join.
-    A ``right`` of up to ``small_side`` counted rows is broadcast whole. ``how`` is ``inner`` or ``left``. Null keys
-    match nothing.
+    A ``right`` of up to ``small_side`` rows, which are counted unless ``rows`` says how many there are, is broadcast
+    whole. ``how`` is ``inner`` or ``left``. Null keys match nothing.
     """
     limit = max(1, -(-total // share))
     payload = [c for c in right.columns if c != weight]
     right = materialised(right)
-    if right.count() <= small_side:  # counted, so bounded
+    if (right.count() if rows is None else rows) <= small_side:
         return left.join(F.broadcast(right.select(*payload)), key, how)
     heavy = F.broadcast(right.filter(F.col(weight) >= limit).select(*payload))
     light = right.filter(F.col(weight) < limit).select(*payload)
@@ -43,9 +43,11 @@ def label_ends(arcs: DataFrame, labels: DataFrame, total: int) -> DataFrame:
     ``labels(id, c, degree)`` has every end once, with the number of arcs that leave it; ``total`` counts the arcs,
     which stand in both directions. See :func:`heavy_split_join` for hubs.
     """
+    labels = materialised(labels)
     there = derived(labels, F.col("id").alias("src"), F.col("c").alias("a"), "degree")
     back = derived(labels, F.col("id").alias("dst"), F.col("c").alias("b"), "degree")
-    return heavy_split_join(heavy_split_join(arcs, there, "src", "degree", total), back, "dst", "degree", total)
+    rows = labels.count()
+    return heavy_split_join(heavy_split_join(arcs, there, "src", "degree", total, rows=rows), back, "dst", "degree", total, rows=rows)
 
 
 _STATE = "k string, pid int, n_rows long, n_partners long, first_partner string, last_partner string, best double, best_partner string"

@@ -49,6 +49,12 @@ def pairs_transform_similarity(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("row_id", to_distance(F.col("tani"), "similarity").alias("d"))
 
 
+def pairs_transform_identity(spark: SparkSession, folder: str) -> DataFrame:
+    """A column taken as the distance that it is."""
+    rows = _pairs(spark, folder).filter(usable(F.col("cov")))
+    return rows.select("row_id", to_distance(F.col("cov"), "distance").alias("d"))
+
+
 def pairs_transform_percent(spark: SparkSession, folder: str) -> DataFrame:
     """Percentage to distance."""
     rows = table(spark, folder, "vir61_ani").filter(usable(F.col("ani")) & (F.col("ani") > 1))
@@ -279,9 +285,9 @@ def text_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def text_pairs_numeric(spark: SparkSession, folder: str) -> DataFrame:
-    """The same with object numbers, from tab-separated text; rows without a number in either are left out."""
-    path = _written(_pairs(spark, folder).select("row_id", "idx1", "idx2", "tani"), "\t")
-    rows, _ = read_pairs(spark, path, id_cols=("idx1", "idx2"), distance_col="tani", filters=["row_id"], numeric_ids=True, permissive=True)
+    """The same with object numbers, from tab-separated text of the rows that have all of them, read strictly."""
+    whole = _pairs(spark, folder).select("row_id", "idx1", "idx2", "tani").dropna(subset=["idx1", "idx2"]).filter("tani is not null")
+    rows, _ = read_pairs(spark, _written(whole, "\t"), id_cols=("idx1", "idx2"), distance_col="tani", filters=["row_id"], numeric_ids=True)
     return rows.filter(usable(F.col("tani"))).select(F.col("row_id").cast("long").alias("row_id"), "idx1", "idx2", "tani")
 
 
@@ -323,6 +329,7 @@ _ALGOS = {"single": "single", "cdhit": "cd-hit", "uclust": "uclust", "setcover":
 
 QUERIES = {
     "pairs_transform_similarity": pairs_transform_similarity,
+    "pairs_transform_identity": pairs_transform_identity,
     "pairs_transform_percent": pairs_transform_percent,
     "pairs_filter_min": partial(_filtered, minimum={"ani": 0.9}),
     "pairs_filter_max": partial(_filtered, maximum={"cov": 0.4}),
@@ -466,6 +473,7 @@ _BOUNDS = "(select list(x) from (select unnest(" + str(edges.histogram_bounds())
 
 ORACLE = {
     "pairs_transform_similarity": "select row_id, 1.0 - tani as d from toy_ani where tani is not null and not isnan(tani)",
+    "pairs_transform_identity": "select row_id, cov as d from toy_ani where cov is not null and not isnan(cov)",
     "pairs_transform_percent": "select id1, id2, 1.0 - ani * 0.01 as d from vir61_ani where ani > 1 and not isnan(ani)",
     "pairs_filter_min": "select row_id from toy_ani where ani >= 0.9 and not isnan(ani)",
     "pairs_filter_max": "select row_id from toy_ani where cov <= 0.4 and not isnan(cov)",

@@ -123,8 +123,7 @@ def naive_complete(g, ids):
     return [groups[k] for k in sorted(groups, reverse=True)]
 
 
-@pytest.mark.parametrize("limit", [0, 12, 1_000])
-@pytest.mark.parametrize("n, m, values", [(18, 30, (0.1, 0.2, 0.3)), (12, 40, (0.1, 0.2)), (7, 21, (0.3,))])
+@pytest.mark.parametrize("n, m, values, limit", [(18, 30, (0.1, 0.2, 0.3), 9), (26, 45, (0.1, 0.2, 0.3), 1_000), (12, 40, (0.1, 0.2), 12), (12, 40, (0.1, 0.2), 1_000), (6, 15, (0.3,), 0), (14, 91, (0.3,), 40)])
 def test_complete_linkage(spark, n, m, values, limit):
     """Pair by pair, ties included, whatever one task may hold; the last graph is one clique of equal distances."""
     rng = random.Random(n)
