@@ -154,16 +154,18 @@ def _level(cells: DataFrame, limit: int, small_graph: int) -> tuple[DataFrame |
     ready, tied = None, None
     rest = _placed(cells, small_graph)
     while True:
-        sizes = cut(rest.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("low"), F.max("d").alias("high"), F.percentile_approx("d", LEVEL, 1_000).alias("t")))
-        large = sizes.filter(F.col("n") > limit)
+        sizes = rest.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("low"), F.max("d").alias("high"))
+        large = cut(sizes.filter(F.col("n") > limit))
         if is_empty(large):
             fits, more = rest, None
         else:
             fits = rest.join(large.select("comp"), "comp", "left_anti")
             equal = rest.join(large.filter("low = high").select("comp"), "comp", "left_semi")
             tied = equal if tied is None else tied.unionByName(equal)
-            t = F.when(F.col("t") < F.col("high"), F.col("t")).otherwise(F.col("low"))
-            more = cut(rest.join(large.filter("low < high").select("comp", t.alias("t")), "comp").filter("d <= t").select("a", "b", "d"))
+            mixed = rest.join(large.filter("low < high").select("comp", "low", "high"), "comp")
+            t = mixed.groupBy("comp", "low", "high").agg(F.percentile_approx("d", LEVEL, 1_000).alias("t"))
+            t = t.select("comp", F.when(F.col("t") < F.col("high"), F.col("t")).otherwise(F.col("low")).alias("t"))
+            more = cut(mixed.join(t, "comp").filter("d <= t").select("a", "b", "d"))
         ready = fits if ready is None else ready.unionByName(fits)
         if more is None or is_empty(more):
             return ready, tied

@@ -273,7 +273,7 @@ def merge_heights(spark: SparkSession, folder: str) -> DataFrame:
 def _written(df: DataFrame, separator: str) -> str:
     """The rows, in the order they come in, as text files with a header; null is an empty field."""
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/text-{uuid.uuid4().hex}"
-    df.write.option("header", True).option("sep", separator).option("nullValue", "").option("emptyValue", "").csv(path)
+    df.write.option("header", True).option("sep", separator).option("nullValue", "").option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return path
 
 
@@ -519,6 +519,11 @@ select len(list_filter({_BOUNDS}, lambda b: b <= d)) as bin, 2 * count(*) as n f
     "vir61_whole_single": _WHOLE + _ranked("k") + _REACH + """, keyed as (select x as id, min(o.i) as key from reach join o on o.id = reach.y group by 1)""" + _NUMBERED + _OUT,
     "vir61_whole_setcover": _WHOLE + _COVERED + _ranked("deg desc, k", "w") + _SEEDS + _attach("p.i") + _NUMBERED + _OUT,
     "vir61_whole_cdhit": _WHOLE + _ranked("k") + _SEEDS + _attach("p.i") + _NUMBERED + _OUT,
+    # an edge is a merge if the edges before it don't lead from one of its ends to the other
+    "merge_tree": _GRAPH
+    + """, o as (select src, dst, d, row_number() over (order by d, src, dst) as i from e), m as (select src, dst, i from o union all select dst, src, i from o),
+ walk(i, y) as (select i, src from o union select walk.i, m.dst from walk join m on m.src = walk.y and m.i < walk.i)
+select row_number() over (order by i) - 1 as step, src, dst, d from o where not exists (select 1 from walk where walk.i = o.i and walk.y = o.dst)""",
     "merge_heights": _GRAPH + _FOREST.format(cuts=", ".join(map(str, CUTS))),
     "text_pairs": "select row_id, coalesce(id1, '') as id1, coalesce(id2, '') as id2, tani from toy_ani where tani is not null and not isnan(tani)",
     "text_pairs_numeric": "select row_id, idx1, idx2, tani from toy_ani where idx1 is not null and idx2 is not null and tani is not null and not isnan(tani)",

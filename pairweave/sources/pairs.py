@@ -76,7 +76,8 @@ def write_assignment(assigned: DataFrame, path: str, *, csv: bool = False) -> No
     folders expect; :func:`write_single_file` writes one file with one header.
     """
     ordered = assigned.orderBy("cluster_no", "out_key").select(F.col("object").cast("string").alias("object"), F.col("cluster").cast("string").alias("cluster"))
-    ordered.write.mode("overwrite").option("header", True).option("sep", "," if csv else "\t").option("quote", "\u0000").option("emptyValue", "").csv(path)
+    blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    ordered.write.mode("overwrite").options(header=True, sep="," if csv else "\t", quote="\u0000", emptyValue="", **blanks).csv(path)
 
 
 def write_single_file(assigned: DataFrame, path: str, *, csv: bool = False) -> None:
