@@ -271,5 +271,23 @@ def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("group_id", "size", F.concat_ws(" ", "typical").alias("typical"), "species_cluster", F.coalesce("n_labelled", F.lit(0)).alias("n_labelled"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups}
-ORACLE: dict[str, str] = {}
+def p2_holds(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the groups: members similar to at most half of the others, members of several groups, groups
+    of one; there are none of these."""
+    similar = _similar(spark, folder).filter("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+    groups = cut(similar_groups(_similar(spark, folder))[0])
+    arcs = cut(symmetrize(similar))
+    degrees = arcs.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
+    labels = cut(groups.join(degrees, "id").select("id", "degree", F.col("group_id").alias("c")))
+    near = label_ends(arcs, labels, arcs.count()).filter("a = b").groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("s"))
+    sizes = groups.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
+    per = groups.join(near, "id", "left").join(sizes, "group_id")
+    unfit = per.agg(F.count_if(2 * F.coalesce("s", F.lit(0)) <= F.col("n") - 1).alias("n_unfit"))
+    shared = groups.groupBy("id").count().agg(F.count_if(F.col("count") > 1).alias("n_shared"))
+    single = sizes.agg(F.count_if(F.col("n") < 2).alias("n_single"))
+    out = unfit.unionByName(shared, allowMissingColumns=True).unionByName(single, allowMissingColumns=True)
+    return out.agg(*[F.max(c).alias(c) for c in ("n_unfit", "n_shared", "n_single")])
+
+
+QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p2_holds": p2_holds}
+ORACLE = {"p2_holds": "select 0::bigint as n_unfit, 0::bigint as n_shared, 0::bigint as n_single"}
