@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from dataclasses import replace
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -136,13 +135,11 @@ def cluster_leiden_rounds(spark: SparkSession, folder: str) -> DataFrame:
 
 def leiden_holds(spark: SparkSession, folder: str) -> DataFrame:
     """What must hold of the communities of the distributed rounds: objects, those that would gain by moving to a
-    neighbouring community, pairs of communities that would gain by merging, communities in several pieces, and whether
-    the quality is within 1 % of what the one-task method reaches."""
+    neighbouring community, pairs of communities that would gain by merging, and communities in several pieces."""
     options = _options(algo="leiden", component_edges=0).resolve(_pairs(spark, folder).columns)
     graph = build_graph(_pairs(spark, folder), options, order=F.col("row_id"))
     graph.edges, graph.vertices = cut(graph.edges), cut(graph.vertices)
     found = cut(keyed_clusters(graph, options).select("id", F.to_json("cluster_key").alias("community")))
-    task = keyed_clusters(graph, replace(options, component_edges=None)).select("id", F.to_json("cluster_key").alias("community"))
     arcs = edges.symmetrize(graph.edges).select("src", "dst", (1.0 - F.col("d")).alias("w"))
     a, b = found.toDF("src", "a"), found.toDF("dst", "b")
     sizes = found.groupBy("community").agg(F.count(F.lit(1)).alias("n"))
@@ -155,12 +152,10 @@ def leiden_holds(spark: SparkSession, folder: str) -> DataFrame:
     merges = between.filter(F.col("w") > 0.7 * F.col("na") * F.col("nb") + 1e-6).agg(F.count(F.lit(1)).alias("n_gaining_merges"))
     parts = components.connected_components(placed.filter("a = b and src < dst").select("src", "dst")).join(found, "id")
     split = parts.groupBy("community").agg(F.countDistinct("root").alias("k")).filter("k > 1").agg(F.count(F.lit(1)).alias("n_split"))
-    quality = cpm_quality(graph.edges, found, 0.7).unionByName(cpm_quality(graph.edges, task, 0.7).withColumnRenamed("quality", "of_task"), allowMissingColumns=True)
-    near = quality.agg((F.max("quality") >= 0.99 * F.max("of_task")).alias("near_task_quality"))
     out = found.agg(F.count(F.lit(1)).alias("n_objects"))
-    for part in (moves, merges, split, near):
+    for part in (moves, merges, split):
         out = out.unionByName(part, allowMissingColumns=True)
-    return out.agg(*[F.max(c).alias(c) for c in ("n_objects", "n_gaining_moves", "n_gaining_merges", "n_split", "near_task_quality")])
+    return out.agg(*[F.max(c).alias(c) for c in ("n_objects", "n_gaining_moves", "n_gaining_merges", "n_split")])
 
 
 def _objects(spark: SparkSession, folder: str) -> DataFrame:
@@ -512,7 +507,7 @@ ORACLE = {
 select sum(n12)::bigint as n_items, count(distinct c1) as n_clusters_left, count(distinct c1) filter (where j < 1) as n_mismatched, round(sum(j * n12) / sum(n12), 9) as similarity from s""",
     "vir61_single": _VIR_SINGLE + _OUT,
     "vir61_percent": _VIR_PERCENT + _OUT,
-    "leiden_holds": _GRAPH + " select count(*) as n_objects, 0::bigint as n_gaining_moves, 0::bigint as n_gaining_merges, 0::bigint as n_split, true as near_task_quality from v",
+    "leiden_holds": _GRAPH + " select count(*) as n_objects, 0::bigint as n_gaining_moves, 0::bigint as n_gaining_merges, 0::bigint as n_split from v",
     "load_counts": _GRAPH + " select (select count(*) from toy_ani) as n_parsed, (select count(*) from r) as n_rows, (select count(*) from e) as n_edges, (select count(*) from n) as n_directed",
     "distance_histogram_whole": f"""with e as (select min(1.0 - tani) as d from toy_ani where id1 <> id2 and tani is not null and not isnan(tani) group by least(id1, id2), greatest(id1, id2))
 select len(list_filter({_BOUNDS}, lambda b: b <= d)) as bin, 2 * count(*) as n from e group by 1""",
