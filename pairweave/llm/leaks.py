@@ -143,12 +143,13 @@ def _vocabulary(rows: DataFrame) -> list:
 def _windows(texts: DataFrame, width: int, slots: dict[str, str], wanted: HashFilter | None) -> DataFrame:
     """Windows of ``texts(id, text)``, only those whose template passes the filter if one is given."""
     spark = texts.sparkSession
-    known, targets = spark.sparkContext.broadcast(slots), spark.sparkContext.broadcast(wanted)
+    # plain values only, since what is broadcast is unpickled where this module may not be installed
+    known, targets = spark.sparkContext.broadcast(slots), spark.sparkContext.broadcast(wanted and (wanted.words, wanted.bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = Windows(batch["text"], width, known.value)
-            keep = np.ones(len(found.hash), bool) if targets.value is None else targets.value(found.hash)
+            keep = np.ones(len(found.hash), bool) if targets.value is None else HashFilter(*targets.value)(found.hash)
             if keep.any():
                 yield found.table(keep, batch["id"])
 
@@ -206,10 +207,11 @@ def _places(documents: DataFrame, width: int, slots: dict[str, str], plain: set[
 
     For anchors that are whole patterns, words of ``slots`` and words that no item uses (not in ``plain``) are slots.
     """
-    given = documents.sparkSession.sparkContext.broadcast((slots, plain, short, whole))
+    given = documents.sparkSession.sparkContext.broadcast((slots, plain, (short.words, short.bits), whole and (whole.words, whole.bits)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        slots, plain, short, whole = given.value
+        slots, plain, *filters = given.value
+        short, whole = (f and HashFilter(*f) for f in filters)
         known: dict[str, int] = {}
         for batch in batches:
             rows = []
